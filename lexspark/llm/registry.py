@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lexspark.llm import mixing
+from lexspark.llm import bpe, language_id, mixing
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op4_bpe": bpe.op4_bpe,
     "op7_mixing": mixing.op7_mixing,
 }
 
+#: Compression, BPE merges, learned models, hashed signatures and windows of rolling hashes have no SQL form;
+#: those queries are tested against brute force.
 ORACLE = {
     "op7_mixing": mixing.OP7_SQL,
 }
