@@ -20,8 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-from lexspark.llm.common import table
+from lexspark.llm.common import table, with_fields
 
 #: Fixed value: the split pattern of this family of vocabularies, with \s as Unicode's White_Space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -162,9 +163,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     encoded as the empty one: no ids. Equal texts give equal ids; texts of any length are encoded whole."""
     new = [ids] + ([decoded] if decoded else [])
     docs = docs.drop(*new)
-    schema = docs.schema.add(ids, "binary")
-    if decoded:
-        schema = schema.add(decoded, "string")
+    schema = with_fields(docs, **{ids: BinaryType()}, **({decoded: StringType()} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path or default_path())
@@ -190,7 +189,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
             texts = [v.decode(i or b"") for i in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text])
 
-    return rows.mapInArrow(run, rows.schema.add(text, "string"))
+    return rows.mapInArrow(run, with_fields(rows, **{text: StringType()}))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,3 +28,8 @@ def hash60(*cols: Column) -> Column:
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def with_fields(df: DataFrame, **fields: DataType) -> StructType:
+    """The schema of ``df`` with more fields at its end."""
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in fields.items())])

@@ -13,8 +13,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from lexspark.llm.common import crc_bucket, table
+from lexspark.llm.common import crc_bucket, table, with_fields
 
 #: Bytes of a dictionary, texts sampled for one language, and the longest of them that is preferred.
 DICT_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 96, 16_384
@@ -48,7 +49,7 @@ def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang") -
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
-    chosen = rows.groupBy("lang", "long", "h").agg().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "h", "rank")
+    chosen = rows.select("lang", "long", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "h", "rank")
     n = chosen.select("lang").distinct().count()
     if n > MAX_LANGUAGES:
         raise ValueError(f"{n} languages; their dictionaries are sent to every task, so there may be {MAX_LANGUAGES}")
@@ -89,7 +90,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score", "accepted")
     held = spark.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES of DICT_BYTES each
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = with_fields(docs, lang_pred=StringType(), score=DoubleType(), accepted=BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Classifier(held.value)
