@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, mixing
+from lexspark.llm import bpe, language_id, mixing, sharding
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op3_language_id": language_id.op3_language_id,
     "op4_bpe": bpe.op4_bpe,
     "op7_mixing": mixing.op7_mixing,
@@ -13,5 +14,6 @@ QUERIES = {
 #: Compression, BPE merges, learned models, hashed signatures and windows of rolling hashes have no SQL form;
 #: those queries are tested against brute force.
 ORACLE = {
+    "op1_sharding": sharding.OP1_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
