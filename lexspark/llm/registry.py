@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, mixing, sharding
+from lexspark.llm import bpe, language_id, line_dedup, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_bpe": bpe.op4_bpe,
     "op7_mixing": mixing.op7_mixing,
@@ -15,5 +16,6 @@ QUERIES = {
 #: those queries are tested against brute force.
 ORACLE = {
     "op1_sharding": sharding.OP1_SQL,
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
