@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, line_dedup, mixing, sharding
+from lexspark.llm import bpe, language_id, line_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_bpe": bpe.op4_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
 }
 
