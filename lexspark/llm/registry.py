@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, line_dedup, mixing, quality_rules, sharding
+from lexspark.llm import bpe, language_id, license_scan, line_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op9_license_scan": license_scan.op9_license_scan,
 }
 
 #: Compression, BPE merges, learned models, hashed signatures and windows of rolling hashes have no SQL form;
@@ -19,4 +20,5 @@ ORACLE = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
 }
