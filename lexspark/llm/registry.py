@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, license_scan, line_dedup, mixing, quality_rules, sharding
+from lexspark.llm import bpe, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 #: Compression, BPE merges, learned models, hashed signatures and windows of rolling hashes have no SQL form;
