@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, sharding
+from lexspark.llm import bpe, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_top_k": topk.op8_top_k,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_minhash": minhash.op10_minhash,
 }
@@ -21,5 +22,6 @@ ORACLE = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_top_k": topk.OP8_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
 }
