@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from lexspark.llm.common import table
 from lexspark.llm.components import components
+from lexspark.llm.polyhash import BASE, Substrings, U, mix
 from lexspark.session import materialise
 
 #: 38 bands of 5 minima: at a similarity of 0.8 a pair shares no band with a chance of 3e-7.
@@ -38,36 +39,11 @@ BLOCK = 2_048
 #: Bytes of normalised text that are hashed at a time.
 BATCH_BYTES = 2_000_000
 
-_U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
 _SEEDS = np.random.RandomState(20240229)
 _MULTIPLY = (_SEEDS.randint(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _ADD = _SEEDS.randint(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
 
-def _mix(h: np.ndarray, by: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
-    h = (h ^ (h >> _U(33))) * _U(by)
-    h = (h ^ (h >> _U(29))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(32))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as a batch needs them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = pow(_BASE, -1, 2**64)
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.concatenate([np.ones(1, _U), np.cumprod(np.full(size - 1, x, _U))]) for x in (_BASE, inverse))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def normalise(text: str | None) -> list[bytes]:
     """The words of a text, A-Z in lower case."""
     return text.encode().lower().split() if text else []
@@ -85,9 +61,7 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     """``texts``: normalised, none empty. Sorted distinct 64-bit hashes of each text's shingles, one after another,
     and where each text's begin. A shingle's hash comes from prefix sums of a polynomial over the bytes."""
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    up, down = _POWERS.upto(len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, _U)
-    np.cumsum((buffer.astype(_U) + _U(1)) * up[: len(buffer)], out=sums[1:])
+    substrings = Substrings(buffer)
     ends = np.flatnonzero(buffer == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
     words = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
@@ -96,30 +70,30 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     for a, n in zip(first.tolist(), words.tolist()):
         k = max(1, n - width + 1)
         s, e = starts[a : a + k], ends[a + n - k : a + n]
-        out.append(np.unique((sums[e] - sums[s]) * down[s]))
+        out.append(np.unique(substrings.of(s, e)))
     offsets = np.cumsum([0, *map(len, out)])[:-1]
-    return _mix(np.concatenate(out)), offsets
+    return mix(np.concatenate(out)), offsets
 
 
 def _signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each set: 128 bits that stand for it, the bands' buckets, the packed low bits of the minima."""
-    digest = np.stack([np.add.reduceat(_mix(hashes, by), offsets) for by in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)], 1)
-    x = (hashes >> _U(32)).astype(np.uint32)
+    digest = np.stack([np.add.reduceat(mix(hashes, by), offsets) for by in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)], 1)
+    x = (hashes >> U(32)).astype(np.uint32)
     minima = np.empty((MINIMA, len(offsets)), np.uint32)
     for i in range(MINIMA):
         minima[i] = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], offsets)
     bands = np.empty((len(offsets), BANDS), np.int64)
     for b in range(BANDS):
-        h = np.full(len(offsets), b + 1, _U)
+        h = np.full(len(offsets), b + 1, U)
         for r in range(BAND_ROWS):
-            h = h * _U(0x100000001B3) + minima[b * BAND_ROWS + r]
-            h ^= h >> _U(31)
-        bands[:, b] = _mix(h * _U(_BASE)).view(np.int64)
-    low = ((minima ^ (minima >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(_U)
-    packed = np.zeros((len(offsets), LONGS), _U)
+            h = h * U(0x100000001B3) + minima[b * BAND_ROWS + r]
+            h ^= h >> U(31)
+        bands[:, b] = mix(h * U(BASE)).view(np.int64)
+    low = ((minima ^ (minima >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(U)
+    packed = np.zeros((len(offsets), LONGS), U)
     for i in range(MINIMA):
         at = i * BITS
-        packed[:, at // 64] |= low[i] << _U(at % 64)
+        packed[:, at // 64] |= low[i] << U(at % 64)
     return digest, bands, packed.view(np.int64)
 
 

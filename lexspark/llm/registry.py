@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, sharding, topk
+from lexspark.llm import bpe, language_id, license_scan, line_dedup, lm_scoring, minhash, mixing, quality_rules, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_bpe": bpe.op4_bpe,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op8_top_k": topk.op8_top_k,
