@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lexspark.llm.common import table, with_fields
 from lexspark.session import materialise
@@ -69,18 +69,18 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split_documents(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` have ``hits``: (chunk, first) of their repeated chunks. Adds kept_text, n_lines, n_chunks,
-    n_removed and repeated: (digest, bytes) of those chunks."""
+    """``docs`` have ``hits``: (chunk, first) of their repeated chunks. Leaves what stays of the text in its column
+    and adds n_lines, n_chunks, n_removed and repeated: (digest, bytes) of those chunks."""
     piece = StructType([StructField("digest", BinaryType()), StructField("bytes", BinaryType())])
-    out = with_fields(docs.drop("hits"), kept_text=StringType(), n_lines=IntegerType(), n_chunks=IntegerType(), n_removed=IntegerType(), repeated=ArrayType(piece))
+    out = with_fields(docs.drop("hits"), n_lines=IntegerType(), n_chunks=IntegerType(), n_removed=IntegerType(), repeated=ArrayType(piece))
     arrow_piece = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("hits")
+            at, text_at = b.schema.get_field_index("hits"), b.schema.get_field_index(text)
             hits = b.column(at).to_pylist()
             kept, n_lines, n_chunks, n_removed, repeated = [], [], [], [], []
-            for t, found in zip(b.column(b.schema.get_field_index(text)).to_pylist(), hits):
+            for t, found in zip(b.column(text_at).to_pylist(), hits):
                 lines = [] if not t else t.split("\n")
                 chunks = chunk_lines(lines)
                 drop: set[int] = set()
@@ -99,20 +99,21 @@ def _split_documents(docs: DataFrame, text: str) -> DataFrame:
                 repeated.append(pieces)
             rest = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in rest), pa.array(kept, pa.string()), *(pa.array(x, pa.int32()) for x in (n_lines, n_chunks, n_removed)), pa.array(repeated, arrow_piece)],
-                names=[*(b.schema.names[i] for i in rest), "kept_text", "n_lines", "n_chunks", "n_removed", "repeated"],
+                [*(pa.array(kept, pa.string()) if i == text_at else b.column(i) for i in rest), *(pa.array(x, pa.int32()) for x in (n_lines, n_chunks, n_removed)), pa.array(repeated, arrow_piece)],
+                names=[*(b.schema.names[i] for i in rest), "n_lines", "n_chunks", "n_removed", "repeated"],
             )
 
     return docs.mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds kept_text, n_lines, n_chunks and n_removed (lines); columns of these names are replaced.
+    """The rows with what stays of the text in its column, and n_lines and n_chunks (of the whole text) and n_removed
+    (lines) added; columns of these names are replaced.
 
     The first occurrence of a chunk is the one with the smallest (id, MD5 of id and text, place); null ids come
     last. Rows that agree in id and text are one document here: they keep and lose the same lines. A null text
     stays null and has no lines; an empty one stays as it is. A text that loses all its lines becomes empty."""
-    docs = docs.drop("kept_text", "n_lines", "n_chunks", "n_removed", "repeated", "hits", "__key")
+    docs = docs.drop("n_lines", "n_chunks", "n_removed", "repeated", "hits", "__key")
     keyed = docs.withColumn("__key", _row_key(doc_id, text))
     small = keyed.select(F.col(doc_id).alias("doc_id"), F.col("__key").alias("key"), F.col(text).alias("text"))
     id_type = keyed.schema[doc_id].dataType
@@ -124,7 +125,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     while True:
         hits = digests.join(repeated, "digest").select("key", F.struct("chunk", ((F.col("key") == F.col("head.key")) & (F.col("chunk") == F.col("head.chunk"))).alias("first")).alias("hit"))
         hits = materialise(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")).withColumnRenamed("key", "__key"), "chunk-hits")
-        split = materialise(_split_documents(keyed.join(hits, "__key", "left"), text), "chunk-split")
+        # No bound holds for the hits, so they are never broadcast.
+        split = materialise(_split_documents(keyed.join(hits.hint("merge"), "__key", "left"), text), "chunk-split")
         pieces = split.select(F.explode("repeated").alias("p")).select("p.*")
         unequal = pieces.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where(F.col("least") != F.col("most")).select("digest")
         if unequal.isEmpty():
@@ -135,7 +137,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
+    return docs.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 OP2_SQL = r"""
