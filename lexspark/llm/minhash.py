@@ -173,7 +173,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key (MD5 of the text), n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, text_key (MD5 of the text), n_shingles, component_id, kept, component
+    (what its component's rows share; null for a text without words).
 
     Two texts are linked if their sets of ``width``-word shingles share ``percent`` percent of their union;
     component_id is the smallest doc_id that links reach, kept says that this is the row's own id. A text of
@@ -217,10 +218,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     ids = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = materialise(ids, "near-ids")
     smallest = materialise(ids.groupBy("comp").agg(F.min("rep").alias("component_id")), "near-smallest")
-    of_class = materialise(ids.join(smallest, "comp").select("cls", "component_id"), "near-of-class")
+    of_class = materialise(ids.join(smallest, "comp").select("cls", "comp", "component_id"), "near-of-class")
     out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("comp").alias("component"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each component: of those with the smallest id,
+    not null if there is one, the one whose text has the smallest MD5. Rows without words all stay, but for
+    repetitions of one id and text."""
+    found = near_duplicates(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    chosen = found.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("c")).select("c.doc_id", "c.text_key")
+    chosen = materialise(chosen.unionByName(found.where(F.col("component").isNull()).select("doc_id", "text_key")), "near-chosen")
+    id_type = docs.schema["doc_id"].dataType
+    key = lambda c: [c.isNull(), F.coalesce(c, F.lit("0").cast(id_type))]
+    keyed = docs.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(key(F.col("doc_id")))], F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__k2"))
+    chosen = chosen.select(*[k.alias(f"__k{i}") for i, k in enumerate(key(F.col("doc_id")))], F.col("text_key").alias("__k2"))
+    keys = ["__k0", "__k1", "__k2"]
+    # No bound holds for the chosen rows, so they are never broadcast.
+    return keyed.join(chosen.hint("merge"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
