@@ -3,14 +3,14 @@
 1. Every text becomes the set of its word shingles; of the set, minima under many hash functions. Bands of minima
    are hashed to buckets, and the lowest bits of all minima are packed into a few longs.
 2. Texts with one and the same set form a class, so exact copies never meet as pairs.
-3. In each bucket the classes are compared with one of them, the hub: the one that shares most buckets with others.
-   A pair first needs sizes that allow the similarity, then an estimate from its packed bits, corrected for minima
+3. The hub of a bucket is the class that shares most buckets with others; each class is compared with the weightiest
+   hub of its buckets. A pair first needs sizes that allow the similarity, then an estimate from its packed bits, corrected for minima
    that agree in these bits by chance. What remains is decided on the full sets of word shingles.
 4. Buckets whose classes are one component by then are done. In the others, the classes outside the largest
    component are compared with all of the bucket, in blocks, and links between components are decided as before.
 
-A large group of near copies thus costs a pair or two a member and band, and no bucket has a cap: what the hubs
-leave open is compared in full.
+A large group of near copies thus costs a pair a member, and no bucket has a cap: what the hubs leave open is
+compared in full.
 """
 
 from __future__ import annotations
@@ -145,16 +145,21 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
     return sizes & (estimate >= percent / 100 - MARGIN)
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that no bound holds for: neither is broadcast, and Spark may split what is hot."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar enough. Every class is fetched by one text."""
     pairs = materialise(pairs, "near-pairs")
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = materialise(needed.join(classes.select("cls", "text_key"), "cls"), "near-keys")
+    keys = materialise(_meet(needed, classes.select("cls", "text_key"), "cls"), "near-keys")
     # Copies of a text fall together before they are shuffled.
-    texts = docs.select("text_key", "text").join(keys.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = materialise(keys.join(texts, "text_key").select("cls", "text"), "near-texts")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = _meet(docs.select("text_key", "text"), keys.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = materialise(_meet(keys, texts, "text_key").select("cls", "text"), "near-texts")
+    both = _meet(pairs, texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    both = _meet(both, texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,39 +192,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     grouped = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
     classes = materialise(grouped, "near-classes")
 
-    # Buckets with two classes or more, and in each the hub.
+    # Buckets with two classes or more, in each the hub, and for each class the weightiest of its hubs.
     members = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > 1), "near-buckets")
-    live = materialise(members.join(shared, "bucket"), "near-live")
+    live = materialise(_meet(members, shared, "bucket"), "near-live")
     weight = materialise(live.groupBy("cls").agg(F.sum("m").alias("weight")), "near-weight")
-    hubs = materialise(live.join(weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub")), "near-hubs")
-    stars = materialise(live.select("bucket", "cls").join(hubs, "bucket").where(F.col("cls") != F.col("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "near-stars")
+    hubs = materialise(_meet(live, weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", F.col("cls").alias("hub"))).alias("h")), "near-hubs")
+    best = _meet(live.select("bucket", "cls"), hubs, "bucket").where(F.col("cls") != F.col("h.hub")).groupBy("cls").agg(F.max("h")["hub"].alias("hub"))
+    stars = materialise(best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "near-stars")
     facts = lambda p: classes.select(F.col("cls").alias(p), F.col("n").alias(f"{p}n"), *[F.col("packed")[i].alias(f"{p}p{i}") for i in range(LONGS)])
-    likely = stars.join(facts("a"), "a").join(facts("b"), "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
+    likely = _meet(_meet(stars, facts("a"), "a"), facts("b"), "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
     links = _confirm(likely, classes, docs, width, percent)
     comps = components(links)
 
     # What the hubs leave open: classes outside their bucket's largest component against all of the bucket.
-    labelled = live.where(F.col("m") > 2).join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "m", F.coalesce("comp", "cls").alias("comp"))
+    labelled = _meet(live, comps.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "m", F.coalesce("comp", "cls").alias("comp"))
     labelled = materialise(labelled, "near-labelled")
     by_comp = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     largest = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main")).where(F.col("comps") > 1).select("bucket", "main")
     largest = materialise(largest, "near-open")
-    rows = materialise(labelled.join(largest, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "near-rows")
-    a = rows.where(F.col("comp") != F.col("main")).select("bucket", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(facts("a"), "a")
-    b = rows.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")).join(facts("b"), "b")
-    a, b = materialise(a, "near-a"), materialise(b, "near-b")
-    rest = a.join(b, ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & _may_be_similar("a", "b", percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rows = materialise(_meet(labelled, largest, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "near-rows")
+    a = rows.where(F.col("comp") != F.col("main")).select("bucket", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = rows.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    a, b = materialise(_meet(a, facts("a"), "a"), "near-a"), materialise(_meet(b, facts("b"), "b"), "near-b")
+    # Where both are outside the largest component, the pair comes twice; once is enough.
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    rest = a.join(_meet(b, largest, "bucket").hint("merge"), ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & once & _may_be_similar("a", "b", percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _meet(rest, stars, ["a", "b"], "left_anti")
     more = _confirm(rest, classes, docs, width, percent)
     if not more.isEmpty():
         comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
-    ids = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    ids = _meet(classes.select("cls", "rep"), comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = materialise(ids, "near-ids")
     smallest = materialise(ids.groupBy("comp").agg(F.min("rep").alias("component_id")), "near-smallest")
-    of_class = materialise(ids.join(smallest, "comp").select("cls", "comp", "component_id"), "near-of-class")
-    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
+    of_class = materialise(_meet(ids, smallest, "comp").select("cls", "comp", "component_id"), "near-of-class")
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls")
+    out = _meet(out, of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("comp").alias("component"))
 

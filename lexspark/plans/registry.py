@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lexspark.plans import scalars
+
+QUERIES = dict(sorted((scalars.QUERIES).items()))
+ORACLE = scalars.ORACLE
