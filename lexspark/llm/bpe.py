@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from lexspark.llm.common import table, with_fields
+from lexspark.llm.common import map_in_arrow, table, with_fields
 
 #: Fixed value: the split pattern of this family of vocabularies, with \s as Unicode's White_Space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
                     columns.append(pa.array(map(v.decode, coded), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -189,7 +189,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
             texts = [v.decode(i or b"") for i in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text])
 
-    return rows.mapInArrow(run, with_fields(rows, **{text: StringType()}))
+    return map_in_arrow(rows, run, with_fields(rows, **{text: StringType()}))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from lexspark.llm.common import crc_bucket, table, with_fields
+from lexspark.llm.common import crc_bucket, map_in_arrow, table, with_fields
 
 #: Bytes of a dictionary, texts sampled for one language, and the longest of them that is preferred.
 DICT_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 96, 16_384
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             columns = [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "lang_pred", "score", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

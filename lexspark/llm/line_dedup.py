@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from lexspark.llm.common import table, with_fields
+from lexspark.llm.common import map_in_arrow, table, with_fields
 from lexspark.session import materialise
 
 #: Lines that the rolling hash spans, its base, and one line in so many ends a chunk.
@@ -103,7 +103,7 @@ def _split_documents(docs: DataFrame, text: str) -> DataFrame:
                 names=[*(b.schema.names[i] for i in rest), "n_lines", "n_chunks", "n_removed", "repeated"],
             )
 
-    return docs.mapInArrow(run, out)
+    return map_in_arrow(docs, run, out)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keyed = docs.withColumn("__key", _row_key(doc_id, text))
     small = keyed.select(F.col(doc_id).alias("doc_id"), F.col("__key").alias("key"), F.col(text).alias("text"))
     id_type = keyed.schema[doc_id].dataType
-    digests = small.mapInArrow(_digests, StructType([StructField("digest", BinaryType()), StructField("doc_id", id_type), StructField("key", BinaryType()), StructField("chunk", IntegerType())]))
+    digests = map_in_arrow(small, _digests, StructType([StructField("digest", BinaryType()), StructField("doc_id", id_type), StructField("key", BinaryType()), StructField("chunk", IntegerType())]))
     digests = materialise(digests, "chunk-digests")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "chunk")
     repeated = digests.groupBy("digest").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(F.col("head") != F.col("tail")).select("digest", "head")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from lexspark.llm.common import table
+from lexspark.llm.common import map_in_arrow, table
 from lexspark.llm.components import components
 from lexspark.llm.polyhash import BASE, Substrings, U, mix
 from lexspark.session import materialise
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     names=names,
                 )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
+    return map_in_arrow(docs.select("doc_id", "text_key", "text"), run, schema)
 
 
 def _may_be_similar(a: str, b: str, percent: int) -> Column:
@@ -174,7 +174,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 keep.append(100 * shared >= percent * (len(sa) + len(sb) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, schema), "near-links")
+    return materialise(map_in_arrow(both, run, schema), "near-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
