@@ -56,3 +56,18 @@ def sql_words(c: str) -> str:
 
 def sql_space(c: str) -> str:
     return rf"trim(regexp_replace(coalesce({c}, ''), '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def registrar(queries: dict, oracle: dict):  # noqa: ANN201
+    """A decorator that enters a query, and its SQL if it has some, under a name."""
+
+    def query(name: str, sql: str | None):  # noqa: ANN202
+        def add(f):  # noqa: ANN001, ANN202
+            queries[name] = f
+            if sql:
+                oracle[name] = sql
+            return f
+
+        return add
+
+    return query

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexspark.plans import scalars
+from lexspark.plans import extraction, relations, retrieval, scalars
 
-QUERIES = dict(sorted((scalars.QUERIES).items()))
-ORACLE = scalars.ORACLE
+_MODULES = (scalars, relations, retrieval, extraction)
+QUERIES = dict(sorted((name, f) for m in _MODULES for name, f in m.QUERIES.items()))
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import codes, ids, nested, text
 from lexspark.operators import hierarchy, index, retrieve
-from lexspark.plans.common import CUSTOMER_CODES, HEADINGS, customer_codes, headings, part_triples, sql_space, sql_words, table
+from lexspark.plans.common import CUSTOMER_CODES, HEADINGS, customer_codes, headings, part_triples, registrar, sql_space, sql_words, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(name: str, sql: str | None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLE)
 
 
 @query("q01_token_frequency", f"SELECT token, count(*) AS n FROM (SELECT unnest({sql_words('text')}) AS token FROM documents) GROUP BY token")
