@@ -164,8 +164,8 @@ def query_tokens(c: Text) -> Column:
     return F.array_except(tokens(c), F.array(*map(F.lit, QUERY_NOISE)))
 
 
-#: Letters with marks whose plain form is one ASCII letter, by rule: canonical decomposition without the marks.
-_MARKED = "".join(ch for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (ch := chr(cp)).isalpha() and len(p := "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))) == 1 and p.isascii())
+#: Letters with marks whose plain form is one letter, by rule: canonical decomposition without the marks.
+_MARKED = "".join(ch for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (ch := chr(cp)).isalpha() and len(p := "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))) == 1 and p != ch)
 _PLAIN = "".join("".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)) for ch in _MARKED)
 
 

@@ -87,7 +87,7 @@ def object_seed(kind: str) -> Column:
 def upsert(existing: DataFrame | None, objects: DataFrame, kind: str) -> DataFrame:
     """Objects by id over those that exist: a new one replaces the old. Of new ones with one id, one stays."""
     new = objects.withColumn("id", uuid5(object_seed(kind))).dropDuplicates(["id"])
-    return new if existing is None else existing.join(new.select("id"), "id", "left_anti").unionByName(new)
+    return new if existing is None else existing.join(new.select("id"), "id", "left_anti").select(*existing.columns).unionByName(new)
 
 
 def ensure_table(spark: SparkSession, name: str, df: DataFrame, recreate: bool = False) -> None:
