@@ -7,7 +7,8 @@
    hub of its buckets. A pair first needs sizes that allow the similarity, then an estimate from its packed bits, corrected for minima
    that agree in these bits by chance. What remains is decided on the full sets of word shingles.
 4. Buckets whose classes are one component by then are done. In the others, the classes outside the largest
-   component are compared with all of the bucket, in blocks, and links between components are decided as before.
+   component are compared with all of the bucket, in blocks, and links between components are decided as before. A
+   pair that shares several buckets is only compared in the first of them.
 
 A large group of near copies thus costs a pair a member, and no bucket has a cap: what the hubs leave open is
 compared in full.
@@ -147,6 +148,16 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
     return sizes & (estimate >= percent / 100 - MARGIN)
 
 
+def _folded(bucket: Column) -> Column:
+    """31 bits of a bucket."""
+    return bucket.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _first_shared(a: str, b: str) -> Column:
+    """The first band, folded, that two lists of folded bands have in one place."""
+    return F.get(F.filter(F.zip_with(a, b, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
+
+
 def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join of two sides that no bound holds for: neither is broadcast, and Spark may split what is hot."""
     return left.join(right.hint("merge"), on, how)
@@ -202,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     hubs = materialise(_meet(live, weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", F.col("cls").alias("hub"))).alias("h")), "near-hubs")
     best = _meet(live.select("bucket", "cls"), hubs, "bucket").where(F.col("cls") != F.col("h.hub")).groupBy("cls").agg(F.max("h")["hub"].alias("hub"))
     stars = materialise(best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "near-stars")
-    facts = lambda p: classes.select(F.col("cls").alias(p), F.col("n").alias(f"{p}n"), *[F.col("packed")[i].alias(f"{p}p{i}") for i in range(LONGS)])
+    facts = lambda p, *more: classes.select(F.col("cls").alias(p), F.col("n").alias(f"{p}n"), *[F.col("packed")[i].alias(f"{p}p{i}") for i in range(LONGS)], *more)
     likely = _meet(_meet(stars, facts("a"), "a"), facts("b"), "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
     links = _confirm(likely, classes, docs, width, percent)
     comps = components(links)
@@ -216,10 +227,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     rows = materialise(_meet(labelled, largest, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "near-rows")
     a = rows.where(F.col("comp") != F.col("main")).select("bucket", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     b = rows.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
-    a, b = materialise(_meet(a, facts("a"), "a"), "near-a"), materialise(_meet(b, facts("b"), "b"), "near-b")
-    # Where both are outside the largest component, the pair comes twice; once is enough.
+    a, b = (materialise(_meet(x, facts(p, F.transform("bands", _folded).alias(f"{p}s")), p), f"near-{p}") for x, p in ((a, "a"), (b, "b")))
+    # Classes of two components share no bucket that is done, so the first that they share is here. Where both are
+    # outside the largest component, the pair comes twice; once is enough.
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = a.join(_meet(b, largest, "bucket").hint("merge"), ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & once & _may_be_similar("a", "b", percent))
+    rest = a.join(_meet(b, largest, "bucket").hint("merge"), ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & once & _may_be_similar("a", "b", percent) & (_first_shared("as", "bs") == _folded(F.col("bucket"))))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = _meet(rest, stars, ["a", "b"], "left_anti")
     more = _confirm(rest, classes, docs, width, percent)
