@@ -26,8 +26,9 @@ from lexspark.llm.common import map_in_arrow, table, with_fields
 
 #: Fixed value: the split pattern of this family of vocabularies, with \s as Unicode's White_Space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: A worker forgets its words when it holds so many; longer words are never kept. Neither alters a result.
-CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
+#: A worker forgets its words when it holds so many; longer words are never kept. It remembers so many pairs of tokens.
+#: Workers outlive their tasks, and so does this memory. None of it alters a result.
+CACHE_WORDS, CACHE_WORD_BYTES, CACHE_PAIRS = 200_000, 64, 250_000
 #: Characters of text that are encoded at a time.
 SLICE_CHARS = 4_000_000
 
@@ -66,7 +67,7 @@ class Vocabulary:
         self.find_added = regex.compile(f"({added})") if added else None
         self.split = regex.compile(SPLIT)
         self.words: dict[str, bytes] = {}
-        self.may_follow = lru_cache(maxsize=1_000_000)(self._may_follow)
+        self.may_follow = lru_cache(maxsize=CACHE_PAIRS)(self._may_follow)
 
     def _may_follow(self, left: int, right: int) -> bool:
         limit = len(self.rank)
