@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, language_id, line_dedup, minhash, mixing
+from lexspark.llm import bpe, language_id, minhash, mixing, passage_dedup
 from lexspark.session import materialise
 
 
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that an earlier document has; a document that has no other lines goes."""
-    rows = line_dedup.dedup_lines(docs)
+    """Texts without the passages of lines that stand earlier; a document that has no other lines goes."""
+    rows = passage_dedup.dedup_passages(docs)
     gone = (F.col("n_removed") > 0) & (F.coalesce(F.trim("text"), F.lit("")) == "")
     return rows.where(~gone).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
