@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, license_scan, line_dedup, lm_scoring, minhash, mixing, passage_dedup, quality_rules, sharding, topk
+from lexspark.llm import bpe, language_id, license_scan, license_windows, line_dedup, lm_scoring, minhash, mixing, passage_dedup, quality_rules, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_minhash": minhash.op10_minhash,
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
+    "op9_license_windows": license_windows.op9_license_windows,
 }
 
 #: Compression, BPE merges, learned models, hashed signatures and windows of rolling hashes have no SQL form;
