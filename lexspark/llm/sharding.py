@@ -3,7 +3,8 @@
 Arrivals are appended as small shards. Shards that are smaller than the target fall into tiers by the power of the
 fan-in that their size is; a tier with as many shards as the fan-in is merged into files of about the target size.
 Every change is one new manifest, put in place by a rename that fails if another writer was first: readers see the
-version before or the one after, and a job that dies leaves files that no manifest names.
+version before or the one after, and a job that dies leaves files that no manifest names. Old versions stay readable
+until ``vacuum`` is called; nothing else removes them.
 
 The manifest lists files, not rows: at a target of 128 MB, 100 TB are 800,000 entries on the driver at the most.
 """
@@ -24,6 +25,8 @@ from lexspark.llm.common import table
 from lexspark.session import delete_path, scratch_path
 
 TARGET_BYTES, FAN_IN = 128 << 20, 8
+#: Versions that a vacuum leaves by default.
+KEEP_VERSIONS = 100
 #: Arrivals that op1 makes of the documents.
 ARRIVALS = 8
 
@@ -166,10 +169,12 @@ class ShardStore:
             if sum(s.rows for s in merged) != sum(s.rows for s in runs):
                 raise RuntimeError("a merge lost rows; nothing was committed")
             self._commit(now, now["schema"], [s for s in shards if s.path not in old] + merged)
-            self.vacuum(keep=1)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Drop all versions but the last ``keep``, and the files that only they name."""
+    def vacuum(self, keep: int = KEEP_VERSIONS) -> None:
+        """Drop all versions but the last ``keep``, and the files that only they name. Readers of a dropped version
+        lose its files, so ``keep`` is to cover the commits made during the longest read."""
+        if keep < 1:
+            raise ValueError("keep must be 1 at least")
         versions = sorted(self.versions())
         gone, stay = versions[:-keep], versions[-keep:]
         live = {s.path for v in stay for s in self.shards(v)}
