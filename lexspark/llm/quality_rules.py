@@ -160,7 +160,7 @@ def _best_condition(hist: dict[str, dict[int, tuple[int, int]]]) -> tuple[float,
 
 def learn_rules(labelled: DataFrame) -> list[Rule]:
     """Rules for bad rows, in order. No label, one class only or no rule that is right often enough: none."""
-    cells = materialise(label_cells(labelled).coalesce(1), "quality-cells")
+    cells = materialise(label_cells(labelled), "quality-cells")
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
         rule: list[Condition] = []
