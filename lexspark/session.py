@@ -1,7 +1,7 @@
-"""Session helpers: where shared intermediate tables go and how they are written.
+"""Session helpers: where shared intermediate tables go, how they are written and when they go.
 
 Executors and the driver share no local folders, so everything that outlives one job goes to the folder
-named in ``spark.checkpoint.dir``. Only where that setting is missing (tests, a laptop) a default is used.
+named in ``spark.checkpoint.dir``. Only a session that runs in one process may leave it out.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only if the session names no folder.
+#: Used only if the session names no folder and has no executors elsewhere.
 DEFAULT_SHARED = "file:///tmp/checkpoints/lexspark"
 
 
@@ -19,7 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
+    held = spark.sparkContext.getCheckpointDir()
+    if held is not None and not held.startswith(DEFAULT_SHARED):
+        return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if held is None:
         spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
     return DEFAULT_SHARED
 
@@ -31,10 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -42,3 +49,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """The intermediate tables of one operator. What a frame still to be run reads must outlive it, so the operator
+    says when a table may go."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialise``, remembered."""
+        path = scratch_path(self.spark, name)
+        out = _written(df, path)
+        self._held.append((out, path))
+        return out
+
+    def drop(self, *gone: DataFrame) -> None:
+        """Delete these tables of ``table``."""
+        for frame, path in self._held:
+            if any(frame is g for g in gone):
+                delete_path(self.spark, path)
+        self._held = [(f, p) for f, p in self._held if not any(f is g for g in gone)]
+
+    def keep(self, *needed: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[f for f, _ in self._held if not any(f is n for n in needed)])
