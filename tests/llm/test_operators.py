@@ -313,6 +313,43 @@ def test_near_duplicates_equal_brute_force(spark, hard, width):
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got.collect()) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], width)
 
 
+@pytest.mark.parametrize(("small", "worth"), [(16, 4), (2, 0)])
+def test_large_groups_of_near_copies_equal_brute_force(spark, monkeypatch, small, worth):
+    """Copies of two versions of a text, each with changes of its own: most pairs are a little under the threshold."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "WORTH", worth)
+    random = np.random.RandomState(5)
+    base = [f"w{i}" for i in range(60)]
+    other = base[:45] + [f"v{i}" for i in range(20)]
+    rows = []
+    for i in range(160):
+        t = list(base if i % 2 else other)
+        for _ in range(random.randint(0, 5)):
+            at = random.randint(len(t))
+            kind = random.randint(4)
+            t[at : at + (kind != 1)] = [[f"x{i}"], ["shared"], [], [f"w{random.randint(60)}"]][kind]
+        rows.append((i, " ".join(t[random.randint(4) :]), "en", "web", 1))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4)
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got.collect()) == brute_components([r[:2] for r in rows], 4)
+
+
+def test_words_whose_polynomial_hashes_collide_are_not_linked(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    flipped = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(i, f"{w} one two three {w}", "en", "web", 1) for i, w in enumerate((thue, flipped))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(0, 0), (1, 1)}
+
+
+def test_one_of_each_picks_the_same_of_equal_texts(spark):
+    rows = [(1, BASE, lang, source, 1) for lang, source in (("en", "web"), ("de", "books"), ("de", None))]
+    for order in (rows, rows[::-1]):  # JSON leaves nulls out
+        got = minhash.one_of_each(spark.createDataFrame(order, SCHEMA).repartition(2)).collect()
+        assert [(r["lang"], r["source"]) for r in got] == [("de", None)]
+
+
 def test_one_of_each_keeps_texts_without_words(hard, empty):
     got = minhash.one_of_each(hard)
     assert got.columns == hard.columns and got.where("doc_id IN (4, 5, 6)").count() == 3 and got.where("doc_id IN (1, 2)").count() == 1
