@@ -185,9 +185,18 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert r["s"] > r["b"]
 
 
-def test_lm_probabilities_of_one_byte_sum_to_one():
-    code = lm_scoring.ByteCode([float(b % 7 + 1) for b in range(256)])
-    assert abs(sum(2.0 ** -float(n) for n in code.length) - 1) < 1e-12
+def test_lm_trees_are_whole():
+    """The shares of all leaves sum to one: of a tree over words, and of each byte's tree."""
+    weights = [float(i % 7 + 1) for i in range(300)]
+    paths, tails, _ = lm_scoring.ordered_tree(weights, sum(weights) / 16)
+    at = {}
+    for leaf in range(300):
+        steps = slice(paths.offset[leaf], paths.offset[leaf] + paths.length[leaf])
+        at.setdefault(tuple(zip(paths.nodes[steps].tolist(), paths.bits[steps].tolist())), []).append(np.exp(tails[leaf]))
+    assert len(at) > 16 and all(abs(sum(x) - 1) < 1e-9 for x in at.values())
+    assert abs(sum(2.0 ** -len(path) for path in at) - 1) < 1e-12
+    forest = lm_scoring.byte_forest(np.random.RandomState(1).random_sample((256, 256)))
+    assert all(abs(sum(2.0 ** -forest.length[b * 256 : b * 256 + 256].astype(float)) - 1) < 1e-12 for b in (0, 32, 255))
 
 
 def test_lm_without_training_texts(empty, hard):
