@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, language_id, minhash, mixing, passage_dedup
-from lexspark.session import materialise
+from lexspark.session import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: never, once or twice."""
-    rows = mixing.mix(docs)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return rows.withColumn("__times", times).where(F.col("__times") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """Each document as often as the mix takes it: never, once or twice. Texts without words go, an empty table stays
+    empty; of rows that are repeated as they are, whole ones are dealt."""
+    rows = mixing.deal_copies(mixing.mix(docs)).where(F.col("copies") > 0)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) in place of texts; ``same`` says that they decode to them."""
+    """Token ids (little-endian unsigned 32-bit integers) in place of texts; ``same`` says that they decode to them. A
+    null text counts as empty and has no ids."""
     rows = bpe.encode(docs, decoded="decoded")
     return rows.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
 
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; what a stage has read goes once the next one's rows are written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = held.table(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        held.keep(docs)
     return docs

@@ -17,10 +17,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from lexspark.llm.common import crc_bucket, map_in_arrow, table, with_fields
 
-#: Bytes of a dictionary, texts sampled for one language, and the longest of them that is preferred.
-DICT_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 96, 16_384
+#: Bytes of a dictionary, texts sampled for one language, and characters of a piece of one.
+DICT_BYTES, SAMPLE_TEXTS, PIECE_CHARS = 65_536, 96, 1_024
 #: The dictionaries travel to every task, so their number has a bound.
-MAX_LANGUAGES = 1_000
+MAX_LANGUAGES = 256
+#: Groups in which the texts of a language are ranked first.
+RANK_GROUPS = 32
 #: Texts are compressed in pieces of so many bytes, so that margins don't depend on a text's length.
 PIECE_BYTES = 8_192
 #: A prediction is rejected if the second smallest is larger by less than this share.
@@ -40,20 +42,28 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, piece_chars: int = PIECE_CHARS, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for every language in ``train``; rows with a null text or label don't count.
 
-    The sample of a language is the SAMPLE_TEXTS distinct texts with the smallest hash, those of up to
-    SAMPLE_CHARS first: the same rows at every run, and a text that occurs often counts once. Only the hashes
-    are ranked; the texts behind the chosen ones are fetched after that."""
+    The sample of a language is bounded by ``sample_texts``: the distinct texts with the smallest hash, of any
+    length, and of each the ``piece_chars`` characters that begin where its hash says. So the driver gets at most
+    ``max_languages * sample_texts * piece_chars`` characters; more languages raise a ValueError. The same rows are
+    chosen at every run, and a text that occurs often counts once. Only the hashes are ranked, first in groups of a
+    language and then the best of these; the texts behind the chosen ones are fetched after that. An empty table
+    gives no dictionary."""
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
-    chosen = rows.select("lang", "long", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "h", "rank")
-    n = chosen.select("lang").distinct().count()
-    if n > MAX_LANGUAGES:
-        raise ValueError(f"{n} languages; their dictionaries are sent to every task, so there may be {MAX_LANGUAGES}")
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "rank").agg(F.min(F.substring("text", 1, DICT_BYTES)).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = rows.select("lang", "h").distinct().withColumn("group", F.pmod("h", F.lit(RANK_GROUPS)))
+    for keys in (["lang", "group"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_texts)
+    chosen = chosen.select("lang", "h", "rank")
+    n = rows.select("lang").distinct().count()
+    if n > max_languages:
+        raise ValueError(f"{n} languages; their dictionaries are sent to every task, so there may be {max_languages}")
+    begin = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
+    piece = F.substring(F.col("text"), begin.cast("int"), F.lit(piece_chars))
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "rank").agg(F.min(piece).alias("text"))
     out: dict[str, bytes] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], -r["rank"])):
         out[r["lang"]] = (out.get(r["lang"], b"") + b" " + _letters(r["text"]))[-DICT_BYTES:]
@@ -105,6 +115,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by dictionaries of those not held out; nulls and empty texts as in ``identify``."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
     dictionaries = fit_dictionaries(docs.where(~held_out).select("text", "lang"))

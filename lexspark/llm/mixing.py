@@ -8,12 +8,16 @@ of a smaller budget are always among those of a larger one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from lexspark.llm.common import hash60, table, word_count
+from lexspark.llm.common import hash60, map_in_arrow, table, with_fields, word_count
 from lexspark.session import materialise
 
 #: Bits of a row's hash and of one histogram level.
@@ -135,7 +139,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     return apply_mix(rows, mix_thresholds(narrow, weights, budget, cap)).drop("h")
 
 
+def deal_copies(mixed: DataFrame) -> DataFrame:
+    """Adds ``copies`` to the rows of ``mix``: how often each is taken whole. Only rows that are repeated as they are
+    have a part of themselves to take; of these each task takes as many whole ones as their parts make, up to less
+    than one for each different row. A column of this name is replaced; rows of size 0 are never taken."""
+    mixed = mixed.drop("copies")
+    at = mixed.withColumn("__h", row_hash())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: Counter[int] = Counter()
+        task = TaskContext.get().partitionId()
+        for b in batches:
+            columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("taken", "size", "__h")]
+            copies = []
+            for taken, size, h in zip(*columns):
+                whole, part = divmod(taken, size) if size else (0, 0)
+                if part:
+                    # Where a task begins within a copy differs by task, so that they don't all round alike.
+                    start = (h + task * 0x9E3779B97F4A7C15) % size
+                    before = (start + given[h] * part) // size
+                    given[h] += 1
+                    whole += (start + given[h] * part) // size - before
+                copies.append(whole)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(copies, pa.int32())], names=[*b.schema.names[:-1], "copies"])
+
+    return map_in_arrow(at, run, with_fields(mixed, copies=IntegerType()))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; null texts and sources and repeated rows as in ``mix``."""
     docs = table(spark, sf_dir, "documents")
     rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash().alias("h")), "mix-rows")
     return apply_mix(rows, mix_thresholds(rows)).select("doc_id", "size", "source_size", "target", "taken")

@@ -27,6 +27,23 @@ def _number_type(*bounds: float) -> type:
     return np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
 
 
+def _in_order(score: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places by falling score and then by key."""
+    if score.dtype != object:
+        return np.lexsort((key, -score))
+    return np.array(sorted(range(len(score)), key=lambda i: (-score[i], key[i])), np.int64)
+
+
+def _beyond(score: int) -> str:
+    """Text that orders scores beyond 64 bits; one text for all others. A score has at most a few hundred digits."""
+    digits = str(abs(score))
+    if -(2**63) <= score < 2**63:
+        return "1"
+    if score > 0:
+        return f"2{len(digits):05d}{digits}"
+    return f"0{99_999 - len(digits):05d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def threshold_top_k(rows: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int, order_key: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of the ``k`` rows with the greatest inner product with ``query``, of ties those with the
     smaller ``order_key``; position ``skip`` takes no part. ``lists[:, d]``: positions in order of component d."""
@@ -56,7 +73,7 @@ def threshold_top_k(rows: np.ndarray, lists: np.ndarray, query: np.ndarray, k: i
                 floor = np.partition(best, len(best) - k)[len(best) - k]
                 keep = np.flatnonzero(best >= floor)  # all ties of the k-th
                 best_at, best = best_at[keep], best[keep]
-            chosen = np.lexsort((order_key[best_at], -best))[:k]
+            chosen = _in_order(best, order_key[best_at])[:k]
             best_at, best = best_at[chosen], best[chosen]
         depth, step = upto, step * 2
         if depth < n and len(best) == k:
@@ -65,7 +82,7 @@ def threshold_top_k(rows: np.ndarray, lists: np.ndarray, query: np.ndarray, k: i
                 break
         if met.all():
             break
-    chosen = np.lexsort((order_key[best_at], -best))
+    chosen = _in_order(best, order_key[best_at])
     return best_at[chosen], best[chosen]
 
 
@@ -73,11 +90,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, the ``k`` other rows with the greatest
     inner product of floor(scale * component), all if there are fewer; ties go to the smaller id, null last.
 
-    Vectors that are null, or hold a null or a number that isn't finite, take no part; vectors of different
-    lengths are not compared. Ids may repeat: a row with the query's id is a candidate unless it is the query
+    Vectors that are null, or hold a null or a number that isn't finite, also once it is scaled, take no part;
+    vectors of different lengths are not compared. A score that is no 64-bit integer is returned as the nearest one;
+    the order is that of the exact scores. Ids may repeat: a row with the query's id is a candidate unless it is the query
     itself, and each of several query rows with one id has a result of its own. An empty table gives no rows.
     Every query meets every row block, so tasks and rows sent grow with queries times rows over the block sizes."""
-    usable = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
     id_type = vectors.schema[vec_id].dataType
     # Null ids travel as a flag, so that pandas keeps the others' type.
     rows = vectors.select(F.coalesce(F.col(vec_id), F.lit("0").cast(id_type)).alias("vec_id"), F.col(vec_id).isNull().alias("no_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -90,13 +108,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     right = rows.where("q").select("dim", every(row_blocks).alias("rb"), block(query_blocks).alias("qb"), "uid", "no_id", "vec_id", "v")
 
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_uid", "query_no_id", "query_id", "uid", "no_id", "vec_id", "score"]
+        names = ["query_uid", "query_no_id", "query_id", "uid", "no_id", "vec_id", "score", "beyond"]
         if candidates.empty or queries.empty:
             return pd.DataFrame(columns=names)
         candidates = candidates.sort_values(["no_id", "vec_id", "uid"], ignore_index=True)
         whole = lambda c: np.floor(scale * np.stack(c.to_list()).astype(np.float64))
         a, b = whole(candidates["v"]), whole(queries["v"])
-        kind = _number_type(max(1.0, np.abs(a).max(initial=0)) * max(1.0, np.abs(b).max(initial=0)) * max(1, a.shape[1]))
+        with np.errstate(over="ignore"):
+            kind = _number_type(max(1.0, np.abs(a).max(initial=0)) * max(1.0, np.abs(b).max(initial=0)) * max(1, a.shape[1]))
         if kind is object:
             a, b = (np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape) for m in (a, b))
         else:
@@ -107,18 +126,20 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
         ids = {c: candidates[c].to_numpy() for c in ("uid", "no_id", "vec_id")}
         for q, uid, none, qid in zip(b, queries["uid"], queries["no_id"], queries["vec_id"]):
             at, score = threshold_top_k(a, lists, q, k, key, place.get(uid, -1))
-            out.append(pd.DataFrame({"query_uid": uid, "query_no_id": none, "query_id": qid, **{c: x[at] for c, x in ids.items()}, "score": score.astype(np.int64)}))
+            near = np.clip(score, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else score.astype(np.int64)
+            out.append(pd.DataFrame({"query_uid": uid, "query_no_id": none, "query_id": qid, **{c: x[at] for c, x in ids.items()}, "score": near, "beyond": [_beyond(int(x)) for x in score] if kind is object else "1"}))
         return pd.concat(out)
 
     keys = ["dim", "rb", "qb"]
     kind = id_type.simpleString()
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query_uid long, query_no_id boolean, query_id {kind}, uid long, no_id boolean, vec_id {kind}, score long")
-    rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "no_id", "vec_id", "uid"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query_uid long, query_no_id boolean, query_id {kind}, uid long, no_id boolean, vec_id {kind}, score long, beyond string")
+    rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), F.col("beyond").desc(), "no_id", "vec_id", "uid"))
     given = lambda flag, c: F.when(~F.col(flag), F.col(c)).alias(c)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(given("query_no_id", "query_id"), "rank", given("no_id", "vec_id"), "score")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for every id divisible by 20; null and unusable vectors as in ``exact_top_k``."""
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
 
 

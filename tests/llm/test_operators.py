@@ -125,6 +125,30 @@ def test_language_id_is_right_on_held_out_texts(spark):
     assert rows.where("held_out").count() == sum(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows.collect())
 
 
+def test_language_id_equals_a_plain_loop(spark, hard):
+    import zstandard
+
+    docs = hard.unionByName(table(spark, SF, "documents"))
+    held = language_id.fit_dictionaries(docs.select("text", "lang"))
+    assert all(0 < len(d) <= language_id.DICT_BYTES for d in held.values())
+    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for r in language_id.identify(docs, held).collect():
+        t = r["text"]
+        want = ("und", 0.0, False)
+        if t and any(map(str.isalpha, t)):
+            data = " ".join(re.split("[ \t\n\v\f\r]+", "".join(c for c in t.lower() if ord(c) > 127 or c.isalpha() or c in " \t\n\v\f\r").strip(" \t\n\v\f\r"))).encode()
+            sizes = []
+            for lang, d in held.items():
+                total = 0
+                for at in range(0, max(1, len(data)), language_id.PIECE_BYTES):
+                    c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+                    total += len(c.compress(data[at : at + language_id.PIECE_BYTES]))
+                sizes.append((total, lang))
+            (a, lang), (b, _) = sorted(sizes)[:2]
+            want = (lang, (b - a) / b, (b - a) / b >= language_id.MIN_MARGIN)
+        assert (r["lang_pred"], r["score"], r["accepted"]) == want
+
+
 def test_language_id_on_hard_rows(spark, hard, empty):
     d = language_id.fit_dictionaries(hard.select("text", "lang"))
     got = language_id.identify(clashing(hard, "score"), d)
@@ -246,6 +270,17 @@ def test_mixing_meets_targets_and_nests(spark):
     assert sorted(large.collect()) == sorted(mixing.mix(docs).select(large.columns).collect())
 
 
+def test_mixing_deals_whole_copies_of_repeated_rows(spark):
+    rows = [(1, "ten words are in this text and no more here", "en", "web", 1)] * 9 + [(2, "other", "en", "books", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = mixing.mix(docs)
+    dealt = mixing.deal_copies(clashing(mixed, "copies"))
+    assert dealt.columns == [*mixed.columns, "copies"] and dealt.count() == 10
+    got = dealt.where("doc_id = 1").agg(F.sum("taken").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("c"), F.max("copies").alias("most")).first()
+    assert abs(got["c"] - got["t"]) <= 3 * 10 and got["most"] <= 2
+    assert mixing.deal_copies(mixing.mix(docs.limit(0))).count() == 0
+
+
 def test_mixing_hard_rows(hard, empty):
     got = mixing.mix(hard)
     assert got.count() == len(HARD) and got.where("size = 0 AND taken > 0").count() == 0
@@ -256,12 +291,12 @@ def test_mixing_hard_rows(hard, empty):
 
 
 def brute_top(rows, k):
-    usable = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and abs(64 * float(x)) < np.inf for x in v)]
     out = []
     for q, (qi, qv) in enumerate(usable):
         if qi is not None and qi % 20 == 0:
             scored = sorted(((-sum(a * b for a, b in zip(qv, v)), i is None, i or 0) for c, (i, v) in enumerate(usable) if c != q and len(v) == len(qv)))[:k]
-            out += [(qi, n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(scored)]
+            out += [(qi, n + 1, None if none else i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, none, i) in enumerate(scored)]
     return sorted(map(str, out))
 
 
@@ -272,7 +307,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
     random = np.random.RandomState(3)
     rows = [(i, [float(x) for x in random.randn(6)]) for i in range(50)] + [(i, [0.5] * 6) for i in range(50, 70)]
     rows += [(80, None), (100, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (120, [float("nan")] * 6), (140, [1e300] + [1.0] * 5), (20, [0.1] * 6), (20, [0.1] * 6), (None, [0.5] * 6), (160, [0.0] * 6), (180, [1.0] * 3), (190, [2.0] * 3)]
-    rows = [r for r in rows if r[0] != 140]
+    rows += [(200, [3e30] * 6), (201, [2e30] * 6), (202, [1e308] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_top(rows, 5)
