@@ -26,6 +26,7 @@ SCRIPTS = (
     (0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF),
     (0x0400, 0x052F), (0x1C80, 0x1C8F), (0xA640, 0xA69F),
 )
+#: Characters that are cut from the ends of keywords, and of fallback keywords.
 KEYWORD_EDGE = " \t\n\r\"'`“”‘’.,;:()[]{}<>|\\/"
 TOKEN_EDGE = ".,;:()[]{}'\""
 
@@ -142,8 +143,13 @@ def clean_keyword(c: Text) -> Column:
 
 def clean_keywords(items: Column, limit: int) -> Column:
     """Cleaned keywords, each once whatever its case, the first ``limit``."""
-    good = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), clean_keyword), lambda x: x.isNotNull())
-    return stable_distinct(good, limit)
+    items = F.coalesce(items, F.array().cast("array<string>"))
+    # Each step is bound once, as Spark computes a shared expression inside a lambda again at every use.
+    s = F.transform(items, norm_space)
+    s = F.transform(s, lambda x: F.regexp_replace(x, "(?i)^keywords:", ""))
+    s = F.transform(s, lambda x: F.btrim(x, F.lit(KEYWORD_EDGE)))
+    s = F.transform(s, norm_space)
+    return stable_distinct(F.filter(s, lambda x: (F.length(x) >= 2) & allowed_scripts(x)), limit)
 
 
 def fallback_keywords(c: Text, limit: int = 8, stop: tuple[str, ...] = STOP_WORDS, colons: bool = False) -> Column:

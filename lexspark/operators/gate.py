@@ -44,6 +44,7 @@ def similar_tokens(left: DataFrame, right: DataFrame, at_least: float = 0.0) ->
     return equal.unionByName(near.select("qt", "ct", ratio("qt", "ct").alias("similarity")))
 
 
+#: Fixed values below: least similarities by a query's size and by a token's length.
 def match_threshold(query_size: Column, qt: Column, ct: Column) -> Column:
     n = F.least(F.length(qt), F.length(ct))
     return F.when(query_size != 1, 0.9).when(n >= 6, 0.83).when(n == 5, 0.85).otherwise(0.9)

@@ -1,79 +1,72 @@
 """Heading text inherited down the code hierarchy.
 
-The fold is transitive and ordered: a stored heading already carries what it has inherited, and a row only sees
-headings before it. One file is one group; a page's rows are few, so a group is bounded by the file.
+A row inherits from the nearest heading above it in the code that stands before it in the file; a heading already
+carries what it has inherited itself. Only codes of few lengths are headings, so every length is one window over the
+rows that share a prefix of that length: the last heading among the rows before. Rows are spread by file and prefix.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import codes, text
 
 STRUCTURED, HEADINGS = "structured", "headings"
-
-
-def _squeeze(s: str) -> str:
-    return " ".join(s.split())
-
-
-def _telling(s: str) -> bool:
-    """Long enough, with letters, neither a rate nor "other": fit to be inherited."""
-    s = _squeeze(re.sub(r"\.{2,}", " ", s))
-    return len(s) >= 8 and not re.search("free|%|¢", s.lower()) and not re.fullmatch("(?i)other:?", s) and bool(re.search("[A-Za-z]", s))
-
-
-def _joined(prefix: str, desc: str) -> str:
-    head = _squeeze(prefix).rstrip(" .:;,-")
-    low, other = desc.lower(), head.lower()
-    if not head or (desc and other in low):
-        return desc
-    return head if low in other else f"{head} {desc}"
-
-
-class Context:
-    """Descriptions by digits, and how a row changes them."""
-
-    def __init__(self, flavour: str, known: dict[str, str] | None = None):
-        self.flavour, self.known = flavour, dict(known or {})
-
-    def step(self, code: str, raw: str) -> str:
-        """The row's description with what it inherits."""
-        digits = re.sub(r"\D", "", code)
-        heads = (self.known[digits[:k]] for k in range(len(digits) - 1, 1, -1) if digits[:k] in self.known)
-        head = next((h for h in heads if _telling(h)), None)
-        desc = _joined(head, raw) if head and (raw or self.flavour == STRUCTURED) else raw
-        if self.flavour == STRUCTURED:
-            stores = len(digits) in (4, 6, 8) and _telling(raw)
-        else:
-            stores = bool(re.fullmatch(r"\d{2}\.\d{2}", code)) and _telling(desc)
-        if digits and desc and stores:
-            self.known[digits] = desc
-        return desc
+#: Digits of the codes that are headings.
+LEVELS = {STRUCTURED: (4, 6, 8), HEADINGS: (4,)}
 
 
 def prepared(rows: DataFrame, flavour: str) -> DataFrame:
-    """Codes and descriptions as the fold takes them."""
+    """Codes and descriptions as they are compared."""
     code = codes.normalize_code(F.col("code")) if flavour == STRUCTURED else text.norm_edges(F.coalesce("code", F.lit("")))
     desc = text.clean_description("description", bullets=True) if flavour == STRUCTURED else text.norm_edges(F.coalesce("description", F.lit("")))
     return rows.withColumn("code", code).withColumn("raw_description", desc)
 
 
-def inherit(rows: DataFrame, flavour: str = STRUCTURED, group: str = "pdf", order: tuple[str, ...] = ("page", "pos")) -> DataFrame:
-    """``rows``: group, order columns, code, description. Adds raw_description and replaces description by the
-    joined one. The raw text is kept so that a later run can replay it and arrive at the same context."""
-    rows = prepared(rows, flavour)
+def _kept(flavour: str, code: Column, digits: Column, raw: Column, said: Column) -> Column:
+    """Whether a row's description is kept as a heading."""
+    if flavour == STRUCTURED:
+        return F.length(digits).isin(*LEVELS[flavour]) & text.is_meaningful_prefix(raw)
+    return code.rlike(r"^[0-9]{2}\.[0-9]{2}$") & text.is_meaningful_prefix(said)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        context = Context(flavour)
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf.assign(description=[context.step(c, d) for c, d in zip(pdf["code"], pdf["raw_description"])])
 
-    return rows.groupBy(group).applyInPandas(run, rows.schema)
+def headings_of(rows: DataFrame, flavour: str = STRUCTURED, group: str = "pdf", order: tuple[str, ...] = ("page", "pos")) -> DataFrame:
+    """(group, digits, description): the last headings that ``rows`` leave. Rows may come from ``inherit``, or, with a
+    raw_description or without, be rows that were improved since: their descriptions are taken as they are."""
+    said = text.norm_edges(F.coalesce("description", F.lit("")))
+    raw = F.col("raw_description") if "raw_description" in rows.columns else said
+    digits = codes.digits_only(F.col("code"))
+    found = rows.where((digits != "") & (said != "") & _kept(flavour, F.col("code"), digits, raw, said))
+    return found.groupBy(group, digits.alias("digits")).agg(F.max_by(said, F.struct(*order)).alias("description"))
+
+
+def inherit(rows: DataFrame, flavour: str = STRUCTURED, group: str = "pdf", order: tuple[str, ...] = ("page", "pos"), known: DataFrame | None = None) -> DataFrame:
+    """``rows``: group, order columns, code, description. Adds raw_description and replaces description by the
+    joined one. The raw text is kept so that a later run can replay it and arrive at the same headings.
+    ``known``: headings (group, digits, description) that stand before all rows, as ``headings_of`` gives them for the
+    pages of a log that a resumed run has behind it."""
+    names = [*rows.columns, *([] if "raw_description" in rows.columns else ["raw_description"])]
+    levels = LEVELS[flavour]
+    r = prepared(rows, flavour).withColumn("__digits", codes.digits_only(F.col("code"))).withColumn("__known", F.lit(None).cast("string"))
+    if known is not None:
+        earlier = known.select(group, F.col("digits").alias("__digits"), F.col("description").alias("__known")).where(F.length("__digits").isin(*levels))
+        r = r.unionByName(earlier, allowMissingColumns=True)
+    # Spark sees that rows dealt by the shortest prefix are dealt for all windows.
+    r = r.withColumns({f"__p{k}": F.substring("__digits", 1, k) for k in levels})
+    r = r.withColumn("__said", F.coalesce("__known", "raw_description"))
+    for i, k in enumerate(levels):
+        window = Window.partitionBy(group, *[f"__p{x}" for x in levels[: i + 1]]).orderBy(F.col("__known").isNull(), *order).rowsBetween(Window.unboundedPreceding, -1)
+        keeps = F.col("__known").isNotNull() | _kept(flavour, F.col("code"), F.col("__digits"), F.col("raw_description"), F.col("__said"))
+        held = F.when((F.length("__digits") == k) & (F.col("__said") != "") & keeps, F.col("__said"))
+        r = r.withColumn(f"__h{k}", F.when(F.length("__digits") > k, F.last(held, ignorenulls=True).over(window)))
+        upto = levels[i + 1] if i + 1 < len(levels) else None
+        now = F.col("__known").isNull() & (F.length("__digits") > k)
+        now = now & (F.length("__digits") <= upto) if upto else now
+        head = F.coalesce(*[F.col(f"__h{x}") for x in levels[i::-1]])
+        takes = now & head.isNotNull() & (F.lit(flavour == STRUCTURED) | (F.col("raw_description") != ""))
+        r = r.withColumn("__said", F.when(takes, text.join_descriptions(head, "raw_description")).otherwise(F.col("__said")))
+    return r.where(F.col("__known").isNull()).withColumn("description", F.col("__said")).select(*names)
 
 
 def nearest_ancestor(rows: DataFrame, known: DataFrame, digits: str = "digits", key: str = "row_id") -> DataFrame:

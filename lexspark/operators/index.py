@@ -84,9 +84,11 @@ def object_seed(kind: str) -> Column:
     return F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in parts]), "|")
 
 
-def upsert(existing: DataFrame | None, objects: DataFrame, kind: str) -> DataFrame:
-    """Objects by id over those that exist: a new one replaces the old. Of new ones with one id, one stays."""
-    new = objects.withColumn("id", uuid5(object_seed(kind))).dropDuplicates(["id"])
+def upsert(existing: DataFrame | None, objects: DataFrame, kind: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Objects by id over those that exist: a new one replaces the old. Of new ones with one id the last by the
+    ``order`` columns stays; of those that tie the last by its columns as JSON, so reruns agree."""
+    rank = F.struct(*order, F.to_json(F.struct(*objects.columns)))
+    new = objects.withColumn("id", uuid5(object_seed(kind))).groupBy("id").agg(F.max_by(F.struct(*objects.columns), rank).alias("o")).select("o.*", "id")
     return new if existing is None else existing.join(new.select("id"), "id", "left_anti").select(*existing.columns).unionByName(new)
 
 

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from lexspark.functions import text
 
 ROW_COLUMNS = ["pdf", "page", "country", "code", "description"]
-PAGE_SCHEMA = "pdf string, page int, dpi int, model string, country string, raw string, error string, usage map<string,bigint>, rows array<struct<code:string,description:string>>"
+PAGE_SCHEMA = "pdf string, page int, dpi int, model string, country string, raw string, error string, usage map<string,bigint>, rows array<struct<code:string,description:string>>, written bigint"
 CACHE_SCHEMA = "id string, model string, augmented_description string, keywords array<string>"
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(path, length, content) of all matching files under a folder, by path."""
+    """(path, length, content) of all matching files under a folder; their order says nothing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length", "content").orderBy("path")
+    return files.select("path", "length", "content")
+
+
+def _place() -> Column:
+    """Where a line of a text source stands: files by time and name, then their blocks, then lines. Spark deals files
+    by size, so a row number alone would not do."""
+    m = F.col("_metadata")
+    return F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def image_url(content: Column, kind: str = "image/jpeg") -> Column:
@@ -23,9 +30,10 @@ def image_url(content: Column, kind: str = "image/jpeg") -> Column:
 
 
 def read_page_log(spark: SparkSession, path: str) -> DataFrame:
-    """A page log of JSON lines; keys may come and go, lines that don't parse are dropped."""
+    """A page log of JSON lines; keys may come and go, lines that don't parse are dropped. Adds ``place``, which orders
+    records as they were appended: by the time that ``append_log`` has written, then by place in the files."""
     df = spark.read.schema(PAGE_SCHEMA + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.withColumn("_bad", F.col("_bad")).where(F.col("_bad").isNull() & F.col("pdf").isNotNull() & F.col("page").isNotNull()).drop("_bad")
+    return df.withColumn("place", F.struct(F.coalesce("written", F.lit(0)).alias("written"), _place().alias("at"))).where(F.col("_bad").isNull() & F.col("pdf").isNotNull() & F.col("page").isNotNull()).drop("_bad", "written")
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -54,11 +62,10 @@ def read_attribute_schemas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str, limit: int = 12) -> DataFrame:
-    """(id, model, augmented_description, keywords): of each id the last line, by file and place in it."""
+    """(id, model, augmented_description, keywords): of each id the last line, files by time."""
     df = spark.read.schema(CACHE_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    df = df.where(F.col("_bad").isNull() & (F.coalesce("id", F.lit("")) != ""))
-    w = Window.partitionBy("id").orderBy(F.col("_file").desc(), F.col("_at").desc())
+    df = df.withColumn("_at", _place()).where(F.col("_bad").isNull() & (F.coalesce("id", F.lit("")) != ""))
+    w = Window.partitionBy("id").orderBy(F.col("_at").desc())
     df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
     return df.select("id", "model", F.nullif(text.norm_space("augmented_description"), F.lit("")).alias("augmented_description"), text.clean_keywords(F.col("keywords"), limit).alias("keywords"))
 
@@ -70,8 +77,8 @@ def processed_pages(log: DataFrame) -> DataFrame:
 
 def rows_of_log(log: DataFrame) -> DataFrame:
     """(pdf, page, pos, country, code, description): rows of each page's last record that is no error and not empty."""
-    good = log.withColumn("_at", F.monotonically_increasing_id()).where((F.coalesce("error", F.lit("")) == "") & (F.size("rows") > 0))
-    w = Window.partitionBy("pdf", "page").orderBy(F.col("_at").desc())
+    good = log.where((F.coalesce("error", F.lit("")) == "") & (F.size("rows") > 0))
+    w = Window.partitionBy("pdf", "page").orderBy(F.col("place").desc())
     last = good.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
     rows = last.select("pdf", "page", "country", F.posexplode("rows").alias("pos", "r")).select("pdf", "page", "pos", "country", "r.*")
     return rows.where(F.trim(F.coalesce("code", F.lit(""))) != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from lexspark.sources.files import ROW_COLUMNS
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("ignoreNullFields", False).json(path)
+    """Records as JSON lines with the time of this call, which orders them after those of all calls before."""
+    df.withColumn("written", F.lit(time.time_ns())).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -1,60 +1,50 @@
-"""Incremental extraction: page rows arrive as a stream, each file's heading context is kept as state.
+"""Incremental extraction: page rows arrive as a stream, each batch inherits from the headings of the batches before.
 
-A batch run over all pages and a stream over the same pages in order give the same rows, since the state stores what
-the fold has stored. Pages of one file must arrive in page order across micro-batches; within one they are sorted.
+A batch run over all pages and a stream over the same pages in order give the same rows. Pages of one file must arrive
+in page order across micro-batches; within one they are ordered by the windows of ``inherit``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
 
-from lexspark.operators.hierarchy import STRUCTURED, Context, prepared
+from lexspark.operators.hierarchy import STRUCTURED, headings_of, inherit
 
+ROWS = "pdf string, page int, pos int, code string, description string"
 OUTPUT = "pdf string, page int, pos int, code string, raw_description string, description string"
+CONTEXT = "pdf string, digits string, description string, batch long"
 
 
-class HierarchyProcessor(StatefulProcessor):
-    """State of a file: its context as JSON."""
-
-    def __init__(self, flavour: str = STRUCTURED):
-        self.flavour = flavour
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("context", StructType([StructField("known", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        known = json.loads(self.held.get()[0]) if self.held.exists() else {}
-        context = Context(self.flavour, known)
-        pdf = pd.concat(list(rows)).sort_values(["page", "pos"], kind="stable")
-        pdf["description"] = [context.step(c, d) for c, d in zip(pdf["code"], pdf["raw_description"])]
-        self.held.update((json.dumps(context.known),))
-        yield pdf[["pdf", "page", "pos", "code", "raw_description", "description"]]
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def close(self) -> None:
-        pass
 
+def inherit_batch(rows: DataFrame, batch: int, sink: str, flavour: str = STRUCTURED) -> None:
+    """Writes the rows of one batch under ``sink``, and the headings that they leave. A batch that runs again, as after
+    a failure, replaces what it has written and doesn't see it."""
+    spark = rows.sparkSession
+    context = f"{sink}/headings"
+    known = None
+    if _exists(spark, context):
+        before = spark.read.schema(CONTEXT).parquet(context).where(F.col("batch") < batch)
+        known = before.groupBy("pdf", "digits").agg(F.max_by("description", "batch").alias("description"))
+        # Only the files of this batch; no bound holds for their number.
+        known = known.join(rows.select("pdf").distinct(), "pdf", "left_semi")
+    out = f"{sink}/rows/batch={batch}"
+    inherit(rows, flavour, known=known).select("pdf", "page", "pos", "code", "raw_description", "description").write.mode("overwrite").parquet(out)
+    headings_of(spark.read.schema(OUTPUT).parquet(out), flavour).write.mode("overwrite").parquet(f"{context}/batch={batch}")
 
-def inherit_stream(rows: DataFrame, flavour: str = STRUCTURED) -> DataFrame:
-    """``rows``: a stream of (pdf, page, pos, code, description). Needs the RocksDB state store."""
-    ready = prepared(rows, flavour).select("pdf", "page", "pos", "code", "raw_description")
-    return ready.groupBy("pdf").transformWithStateInPandas(HierarchyProcessor(flavour), OUTPUT, "Append", "None")
 
-
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1, flavour: str = STRUCTURED) -> None:
+    """Runs all row files (Parquet) that are new since the last run through ``inherit`` and adds them to ``sink``. The
+    checkpoint remembers files: a page is processed once, however often this is called."""
+    rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = rows.writeStream.foreachBatch(lambda batch, number: inherit_batch(batch, number, sink, flavour))
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1, flavour: str = STRUCTURED) -> None:
-    """Runs all row files (Parquet) that are new since the last run through the fold and appends them to ``sink``.
-    The checkpoint remembers files and contexts: a page is processed once, however often this is called."""
-    use_rocksdb(spark)
-    schema = "pdf string, page int, pos int, code string, description string"
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    out = inherit_stream(rows, flavour)
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def read_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows that ``ingest`` has written."""
+    return spark.read.schema(OUTPUT).parquet(f"{sink}/rows")

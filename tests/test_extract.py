@@ -66,6 +66,12 @@ def test_only_dotted_headings_are_inherited_in_the_other_flavour(spark):
     assert {r["code"]: r["description"] for r in got.collect()} == {"07.10": "Vegetables, frozen", "0710.21": "Vegetables, frozen Peas", "0711": "Preserved vegetables", "0711.20": "Olives", "0710.22": ""}
 
 
+def test_joined_descriptions_lose_inner_runs_of_spaces(spark):
+    data = [("f", 1, 0, "07.10", "Vegetables,  frozen"), ("f", 1, 1, "0710.21", "Peas  green")]
+    got = hierarchy.inherit(spark.createDataFrame(data, "pdf string, page int, pos int, code string, description string"), hierarchy.HEADINGS)
+    assert {r["code"]: r["description"] for r in got.collect()}["0710.21"] == "Vegetables, frozen Peas green"
+
+
 def test_failing_batches_are_halved():
     calls = []
 

@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexspark.operators import index
 from lexspark.sources import files, sinks
 
@@ -66,4 +68,23 @@ def test_binary_documents(spark, tmp_path):
     (tmp_path / "sub" / "b.pdf").write_bytes(b"two")
     (tmp_path / "a.pdf").write_bytes(b"one")
     (tmp_path / "c.PDF").write_bytes(b"no")
-    assert [bytes(r["content"]) for r in files.read_documents(spark, str(tmp_path)).collect()] == [b"one", b"two"]
+    assert sorted(bytes(r["content"]) for r in files.read_documents(spark, str(tmp_path)).collect()) == [b"one", b"two"]
+
+
+def test_the_last_appended_record_wins_whatever_its_size(spark, tmp_path):
+    schema = "pdf string, page int, rows array<struct<code:string,description:string>>"
+    for first, last in (("short", "long " * 400), ("long " * 400, "short")):
+        path = f"file://{tmp_path}/{first[:5]}"
+        for said in (first, last):
+            sinks.append_log(spark.createDataFrame([("a", 1, [("0101", said)])], schema), path)
+        assert [r["description"] for r in files.rows_of_log(files.read_page_log(spark, path)).collect()] == [last]
+
+
+def test_upsert_keeps_the_last_of_one_id(spark):
+    rows = [("US", "01012100", f"text {i}", i) for i in range(5)]
+    got = index.upsert(None, spark.createDataFrame(rows, "country string, digits string, description string, at int"), "national", order=("at",))
+    assert [r["description"] for r in got.collect()] == ["text 4"]
+
+
+def test_data_url(spark):
+    assert spark.range(1).select(files.image_url(F.lit(bytearray(b"abc"))).alias("u")).first()["u"] == "data:image/jpeg;base64,YWJj"
