@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions import text
+from lexspark.functions import nested, text
+from lexspark.sources.sinks import CacheStore
 
 MODES = ("short", "keywords", "all")
 #: Takes items (dicts with an id) and returns one answer for each: {"id", "augmented_description", "keywords"}.
@@ -77,6 +78,52 @@ def ask(items: DataFrame, provider: Provider, fallback: Provider, batch_size: in
     return items.mapInPandas(run, "id string, augmented_description string, keywords array<string>")
 
 
+#: Takes a page's targets (dicts with index, code, description) and returns updates of the same kind.
+Improver = Callable[[list[dict]], list[dict]]
+
+
+def improve_rows(rows: DataFrame, improver: Improver, page: tuple[str, ...] = ("pdf", "page"), pos: str = "pos") -> DataFrame:
+    """``rows`` (page columns, pos, country, code, description) with better descriptions where a row needs one and the
+    improver gives some. It is called once a page, inside the tasks. A page's updates count only if they cover all of
+    its targets, each once and with its code unchanged; else, and where the call fails, the page stays as it was."""
+    target = F.struct(F.col(pos).cast("int").alias("index"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("description", F.lit("")).alias("description"))
+    asked = rows.where(text.needs_rewrite_row("code", "description", "country")).groupBy(*page).agg(F.sort_array(F.collect_list(target)).alias("targets"))
+    names = [f.name for f in asked.schema.fields if f.name != "targets"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = []
+            for targets in frame["targets"]:
+                try:
+                    updates = improver([dict(t) for t in targets])
+                    got.append([{"index": int(u["index"]), "code": str(u["code"]), "description": str(u["description"])} for u in updates])
+                except Exception:  # noqa: BLE001 - whatever an improver raises, the page stays as it was
+                    got.append([])
+            yield frame.assign(updates=got)
+
+    item = "array<struct<index:int,code:string,description:string>>"
+    kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in names)
+    answered = asked.mapInPandas(run, f"{kinds}, targets {item}, updates {item}")
+    pair = lambda c: F.transform(c, lambda x: F.struct(x["index"].alias("index"), x["code"].alias("code")))
+    good = answered.where(nested.valid_updates(pair("targets"), pair("updates"))).select(*page, F.explode("updates").alias("u"))
+    good = good.select(*page, F.col("u.index").alias(pos), text.norm_space("u.description").alias("__better"))
+    return rows.join(good, [*page, pos], "left").withColumn("description", F.coalesce("__better", "description")).select(*rows.columns)
+
+
+def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1) -> DataFrame:
+    """Everything that keeps a cache up to date: what is pending for ``objects`` (id, description) is asked for in
+    batches, merged and stored as a new version. With several ``rounds``, that many parts by id are stored one after
+    another, so that a run that breaks off keeps the parts before. Returns the current cache."""
+    spark = objects.sparkSession
+    empty = spark.createDataFrame([], "id string, augmented_description string, keywords array<string>")
+    for part in range(rounds):
+        held = store.read()
+        cache = empty if held is None else held
+        todo = pending(objects.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == part), cache, mode)
+        store.write(merge_cache(cache, ask(todo.select("id", "description"), provider, fallback, batch_size)))
+    return store.read()
+
+
 def default_answers(items: DataFrame) -> DataFrame:
     """Answers without a model: keywords from the description, no rewriting. Native columns."""
     return items.select("id", F.lit(None).cast("string").alias("augmented_description"), text.fallback_keywords("description").alias("keywords"))

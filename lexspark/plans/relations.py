@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.functions import nested, text
+from lexspark.functions import codes, nested, text
 from lexspark.operators import augment, extract, index
 from lexspark.plans.common import PART_TRIPLES, part_triples, registrar, sql_space, table
-from lexspark.sources import files
+from lexspark.session import scratch_path
+from lexspark.sources import files, sinks
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -66,10 +67,10 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
 _THIN = "(s = '' OR trim(lower(s), ' .:') IN ('other', 'other: other', 'seed', 'other fruit, fresh. - other') OR length(s) < 80)"
 
 
-@query("q15_pending", f"""WITH o AS (SELECT doc_id::VARCHAR AS id, {sql_space("string_split(text, chr(10))[1]")} AS s FROM documents WHERE doc_id IS NOT NULL), c AS (SELECT doc_id::VARCHAR AS id, max(quality) = 1 AS aug, max(toxic) = 0 AS kw FROM labels GROUP BY 1)
+@query("q15_pending", f"""WITH o AS (SELECT doc_id::VARCHAR AS id, {sql_space("text")} AS s FROM documents WHERE doc_id IS NOT NULL), c AS (SELECT doc_id::VARCHAR AS id, max(quality) = 1 AS aug, max(toxic) = 0 AS kw FROM labels GROUP BY 1)
 SELECT o.id, {_THIN} AS need_rewrite FROM o LEFT JOIN c USING (id) WHERE NOT coalesce(c.kw AND (NOT {_THIN} OR c.aug), false)""")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    objects = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("description"))
+    objects = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("description"))
     held = table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     none = F.array().cast("array<string>")
     cache = held.select("id", F.when(F.col("q") == 1, "said better").alias("augmented_description"), F.when(F.col("t") == 0, F.array(F.lit("word"))).otherwise(none).alias("keywords"))
@@ -159,3 +160,55 @@ def q48(spark: SparkSession, d: str) -> DataFrame:
 @query("q49_page_range", "WITH p AS (SELECT p_brand AS pdf, p_partkey AS page FROM part WHERE p_partkey BETWEEN 20 AND 1500 AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_partkey BETWEEN 20 AND 1500 ORDER BY 1 LIMIT 3)) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY page) <= 4")
 def q49(spark: SparkSession, d: str) -> DataFrame:
     return extract.page_range(table(spark, d, "part").select(F.col("p_brand").alias("pdf"), F.col("p_partkey").alias("page")), 20, 1500, max_pages=4, max_files=3)
+
+
+@query("q53_row_files", f"SELECT source_pdf AS pdf, page, country, code, description FROM ({_ROWS})")
+def q53(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written to files and read back: nothing is lost by quoting."""
+    path = scratch_path(spark, "row-files")
+    sinks.append_rows(_rows(spark, d).where(_key() % 2 == 0), path)
+    sinks.append_rows(_rows(spark, d).where(_key() % 2 == 1), path)
+    return files.read_rows(spark, path).select(*[F.coalesce(c, F.lit("")).alias(c) for c in files.ROW_COLUMNS])
+
+
+@query("q54_read_cache", "SELECT p_partkey::VARCHAR AS id, 'new ' || p_name AS augmented_description, p_brand || ',' || p_type AS keywords FROM part")
+def q54(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of JSON lines, of each id the line appended last."""
+    path, p = scratch_path(spark, "cache-lines"), table(spark, d, "part")
+    for word in ("old ", "new "):
+        lines = p.select(_key().cast("string").alias("id"), F.concat(F.lit(word), F.lit(" "), "p_name").alias("augmented_description"), F.array("p_brand", F.upper("p_brand"), "p_type", F.lit("x")).alias("keywords"))
+        sinks.append_log(lines, path)
+    return files.read_cache(spark, path).withColumn("keywords", F.array_join("keywords", ",")).select("id", "augmented_description", "keywords")
+
+
+def _improver(targets: list[dict]) -> list[dict]:
+    if any(t["index"] % 11 == 0 for t in targets):
+        raise RuntimeError("refused")
+    if any(t["index"] % 13 == 0 for t in targets):
+        return targets[1:]
+    return [{**t, "description": f" better  {t['description']} "} for t in targets]
+
+
+@query("q55_improve_rows", """WITH t AS (SELECT o_custkey, o_orderkey, o_orderstatus || ' ' || o_orderpriority AS d, o_orderkey % 3 <> 0 AS thin FROM orders), p AS (SELECT o_custkey, bool_or(thin AND o_orderkey % 11 = 0) AS refused, bool_or(thin AND o_orderkey % 13 = 0) AS missing FROM t GROUP BY 1)
+SELECT o_orderkey AS pos, CASE WHEN NOT thin THEN 'a description that is long enough for all: ' || d WHEN refused OR missing THEN d ELSE 'better ' || d END AS description FROM t JOIN p USING (o_custkey)""")
+def q55(spark: SparkSession, d: str) -> DataFrame:
+    """A page is a customer's orders; two thirds of them have thin descriptions."""
+    said = F.concat_ws(" ", "o_orderstatus", "o_orderpriority")
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("a description that is long enough for all: "), said)).otherwise(said)
+    rows = table(spark, d, "orders").select(F.lit("f").alias("pdf"), F.col("o_custkey").alias("page"), F.col("o_orderkey").cast("int").alias("pos"), F.lit("").alias("country"), F.lit("010121").alias("code"), said.alias("description"))
+    return augment.improve_rows(rows, _improver).select(F.col("pos").cast("long").alias("pos"), "description")
+
+
+@query("q56_refresh", "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE upper(p_name) END AS augmented_description, CASE WHEN p_partkey % 7 = 0 THEN 'fallback' ELSE 'asked' END AS keywords FROM part")
+def q56(spark: SparkSession, d: str) -> DataFrame:
+    """A cache built in three parts, each stored; a second call finds nothing pending but what has no better text."""
+    store = sinks.CacheStore(spark, scratch_path(spark, "cache-store"))
+    items = table(spark, d, "part").select(_key().cast("string").alias("id"), F.col("p_name").alias("description"))
+    augment.refresh(store, items, _provider, _fallback, rounds=3)
+    return augment.refresh(store, items, _provider, _fallback).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("q59_national_country", f"SELECT p_partkey, CASE WHEN length(regexp_replace(code, '[^0-9]', '', 'g')) > 8 THEN country ELSE '' END AS country FROM (SELECT p_partkey, country, CASE WHEN p_partkey % 3 = 0 THEN code || '.1234' ELSE code END AS code FROM ({_ROWS}))")
+def q59(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d).withColumn("code", F.when(_key() % 3 == 0, F.concat("code", F.lit(".1234"))).otherwise(F.col("code")))
+    return rows.select("p_partkey", codes.national_country(F.col("code"), F.col("country")).alias("country"))

@@ -132,21 +132,31 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
     return t.select("token", F.array_join(F.array_sort(text.token_variants(F.col("token"))), ",").alias("variants"))
 
 
-@query("q30_rewrite_predicates", f"""WITH l AS (SELECT doc_id, {sql_space("string_split(text, chr(10))[1]")} AS s, CASE WHEN doc_id % 3 = 0 THEN 'US' ELSE '' END AS country, (doc_id % 1000000)::VARCHAR AS code FROM documents)
-SELECT doc_id, (s = '' OR trim(lower(s), ' .:') IN ('other', 'other: other', 'seed', 'other fruit, fresh. - other') OR length(s) < 80) AS rewrite,
+@query("q30_rewrite_predicates", f"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS pos FROM documents), l AS (SELECT doc_id, pos, {sql_space("line")} AS s, CASE WHEN doc_id % 3 = 0 THEN 'US' ELSE '' END AS country, (doc_id % 1000000)::VARCHAR AS code FROM x)
+SELECT doc_id, pos, (s = '' OR trim(lower(s), ' .:') IN ('other', 'other: other', 'seed', 'other fruit, fresh. - other') OR length(s) < 80) AS rewrite,
  (contains(lower(s), 'free') OR contains(s, '%') OR contains(s, '¢')) AS rate,
  ((country <> '' AND (length(code) > 8 OR length(code) = 4)) OR s = '' OR regexp_full_match(lower(s), 'other:?\\.?') OR contains(lower(s), 'free') OR contains(s, '%') OR contains(s, '¢') OR len(string_split(s, ' ')) <= 3 OR length(s) < 25) AS row_rewrite FROM l""")
 def q30(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("s"), F.when(F.col("doc_id") % 3 == 0, "US").otherwise("").alias("country"), (F.col("doc_id") % 1000000).cast("string").alias("code"))
-    return l.select("doc_id", text.needs_description_rewrite("s").alias("rewrite"), text.looks_like_rate("s").alias("rate"), text.needs_rewrite_row("code", "s", "country").alias("row_rewrite"))
+    """Of every line of every text."""
+    lines = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "s"))
+    l = lines.select("doc_id", "pos", "s", F.when(F.col("doc_id") % 3 == 0, "US").otherwise("").alias("country"), (F.col("doc_id") % 1000000).cast("string").alias("code"))
+    return l.select("doc_id", "pos", text.needs_description_rewrite("s").alias("rewrite"), text.looks_like_rate("s").alias("rate"), text.needs_rewrite_row("code", "s", "country").alias("row_rewrite"))
 
 
 @query("q36_fallback_keywords", f"""WITH k AS (SELECT doc_id, unnest(string_split({sql_space('text')}, ' ')) AS w, generate_subscripts(string_split({sql_space('text')}, ' '), 1) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(w, '.,;:()[]{{}}''"') AS w FROM k), g AS (SELECT *, replace(lower(w), 'ß', 'ss') AS key FROM c WHERE length(w) >= 3),
 f AS (SELECT doc_id, key, min(i) AS i, arg_min(w, i) AS w FROM g WHERE key NOT IN ('and','or','of','the','a','an','for','with','without','whether','not','other') GROUP BY doc_id, key), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
-SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i), '') AS keywords, length(d.text) - length(replace(d.text, ':', '')) = 0 OR true AS ok FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 8 GROUP BY d.doc_id, d.text""")
+SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i), '') AS keywords FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 8 GROUP BY d.doc_id""")
 def q36(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.fallback_keywords("text"), ",").alias("keywords"), (F.size(text.segments("text")) <= 10).alias("ok"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.fallback_keywords("text"), ",").alias("keywords"))
+
+
+@query("q52_segments", f"""WITH s AS (SELECT doc_id, unnest(string_split(replace(replace({sql_space('text')}, '(con.)', ' '), '(con )', ' '), ':')) AS w, generate_subscripts(string_split(replace(replace({sql_space('text')}, '(con.)', ' '), '(con )', ' '), ':'), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, {sql_space('w')} AS w FROM s), f AS (SELECT doc_id, replace(lower(w), 'ß', 'ss') AS key, min(i) AS i, arg_min(w, i) AS w FROM c WHERE w <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT d.doc_id, count(w) AS n, md5(coalesce(string_agg(w, '|' ORDER BY i), '')) AS segments FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 10 GROUP BY d.doc_id""")
+def q52(spark: SparkSession, d: str) -> DataFrame:
+    s = text.segments("text")
+    return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("segments"))
 
 
 @query("q37_uuid5", r"""WITH s AS (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || '|' || p_brand || '|' || p_partkey::VARCHAR)) AS h FROM part)
