@@ -8,9 +8,10 @@
    corrected for minima that agree in these bits by chance. What remains is decided on the full sets of word shingles.
    The classes outside their bucket's largest component then choose hubs among themselves, as long as that links many.
 4. Buckets whose classes are one component by then are done. In small ones, the classes outside the largest component
-   are compared with all of the bucket. In large ones, every class is written as its difference from the bucket's hub
-   (shingles that only one of the two has). Two classes that aren't both linked to the hub can only be similar if
-   their differences share so many elements that they share one of the rarest few; only classes that do are compared.
+   are compared with all of the bucket. In large ones, every class is written as its difference from a hub, one for
+   all buckets whose hubs are one component (shingles that only one of the two has). Two classes that aren't both
+   linked to the hub can only be similar if their differences share so many elements that they share one of the
+   rarest few; only classes that do are compared.
 
 A large group of near copies thus costs a pair a member, and copies that were each changed on their own don't meet:
 what they have in common is common with the hub. No bucket has a cap, and no pair of a bucket is left undecided.
@@ -315,8 +316,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # both outside: the pair comes twice
     rest = _meet(a, b, "bucket").where((F.col("ca") != F.col("cb")) & once & _may_be_similar("a", "b", percent) & (_first_shared("as", "bs") == F.col("bucket")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # Large open buckets: by what the classes differ in from the bucket's hub.
-    against = _meet(rows.where(F.col("m") > SMALL).select("bucket", "cls", "comp"), first_hubs.select("bucket", "h.hub"), "bucket").where(F.col("cls") != F.col("hub")).select("cls", "comp", "hub").distinct()
+    # Large open buckets: by what the classes differ in from a hub, one for all buckets whose hubs are one component.
+    large, led = rows.where(F.col("m") > SMALL).select("bucket", "cls", "comp"), first_hubs.select("bucket", "h.weight", "h.hub")
+    leading = _meet(large, led, "bucket").where(F.col("cls") == F.col("hub")).select("bucket", F.col("comp").alias("hub_comp"), "weight", "hub")
+    chief = leading.groupBy("hub_comp").agg(F.max(F.struct("weight", "hub"))["hub"].alias("hub"))
+    leading = held.table(_meet(leading.select("bucket", "hub_comp"), chief, "hub_comp").select("bucket", "hub"), "near-leading")
+    against = _meet(large, leading, "bucket").where(F.col("cls") != F.col("hub")).select("cls", "comp", "hub").distinct()
     diffs = held.table(_differences(against, texts, width), "near-differences")
     rest = held.table(rest.unionByName(_by_difference(diffs, percent, held)).distinct(), "near-pairs")
     more = held.table(_confirm(rest, texts, width, percent).unionByName(_linked(diffs, percent)), "near-links")
