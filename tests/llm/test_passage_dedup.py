@@ -1,11 +1,11 @@
-"""Passages of few lines, planted between other lines, against brute force over all pairs."""
+"""Passages of few lines, planted between other lines, against brute force over all pairs and chunks."""
 
 import hashlib
 
 import pytest
 
 import corpus_pipeline
-from lexspark.llm import passage_dedup
+from lexspark.llm import line_dedup, passage_dedup
 from lexspark.llm.common import table
 from tests.conftest import SF
 
@@ -14,18 +14,25 @@ def planted(n):
     return [f"line {n}.{k} " + " ".join(f"word{n}x{k}x{j}" for j in range(60)) for k in range(n)]
 
 
+def units(lines):
+    """Pairs of neighbours that aren't blank, and chunks of two lines or more that aren't all blank."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    chunks = [(a, b - 1) for a, b in line_dedup.chunk_lines(lines) if b - a > 1 and any(x.strip() for x in lines[a:b])]
+    return {*zip(full, full[1:]), *chunks}
+
+
 def brute(rows):
     """What stays of each text, in the order of the rows."""
     key = lambda i, t: hashlib.md5(("\x00" if i is None else str(i)).encode() + b"\x1f" + ("\x00" if t is None else t).encode()).digest()
     first = {}
     for none, _, k, t in sorted({(i is None, i or 0, key(i, t), t) for i, t in rows if t}):
         lines = t.split("\n")
-        for a, e in passage_dedup.pairs(lines):
+        for a, e in sorted(units(lines)):
             first.setdefault("\n".join(lines[a : e + 1]), (k, a, e))
     out = []
     for i, t in rows:
         lines, drop = (t or "").split("\n"), set()
-        for a, e in passage_dedup.pairs(lines):
+        for a, e in units(lines):
             k, b, c = first["\n".join(lines[a : e + 1])]
             same = k == key(i, t)
             if not (same and a == b):
@@ -59,3 +66,11 @@ def test_passages_equal_brute_force(spark):
     got = passage_dedup.dedup_passages(docs)
     assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == brute(rows)
     assert passage_dedup.dedup_passages(docs.limit(0)).count() == 0
+
+
+def test_chunks_go_as_in_line_dedup(spark):
+    """Whatever the chunks alone remove goes here too."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    chunks, units_ = (f(docs).groupBy("doc_id").max("n_removed").withColumnRenamed("max(n_removed)", n) for f, n in ((line_dedup.dedup_lines, "c"), (passage_dedup.dedup_passages, "u")))
+    both = chunks.join(units_, "doc_id").collect()
+    assert sum(r["c"] for r in both) > 0 and all(r["u"] >= r["c"] for r in both)
