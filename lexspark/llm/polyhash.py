@@ -41,3 +41,12 @@ class Substrings:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+
+
+class Sequences(Substrings):
+    """The same for a sequence of numbers."""
+
+    def __init__(self, numbers: np.ndarray):
+        up, self.down = _POWERS.upto(len(numbers) + 1)
+        self.sums = np.zeros(len(numbers) + 1, U)
+        np.cumsum(mix(numbers.astype(U) + U(1)) * up[: len(numbers)], out=self.sums[1:])

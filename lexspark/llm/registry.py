@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import bpe, language_id, license_scan, license_windows, line_dedup, lm_scoring, minhash, mixing, passage_dedup, quality_rules, sharding, topk
+from lexspark.llm import bpe, centroids, language_id, license_scan, license_windows, line_dedup, lm_scoring, minhash, mixing, passage_dedup, periodic_runs, quality_rules, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_minhash": minhash.op10_minhash,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op9_license_windows": license_windows.op9_license_windows,
 }
@@ -27,4 +30,5 @@ ORACLE = {
     "op7_mixing": mixing.OP7_SQL,
     "op8_top_k": topk.OP8_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }
