@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from lexspark.llm.common import crc_bucket, map_in_arrow, table, with_fields
+from lexspark.session import Scratch
 
 #: The bound of what is learned from: so many distinct texts of each label, those with the smallest hashes.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3_000, 9_000
@@ -67,16 +68,17 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), _ASCII, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _sample(train: DataFrame, text: str, label: str, toxic: int, ordinary: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic: int, ordinary: int) -> DataFrame:
     """(text, toxic, h): of each label the distinct texts with the smallest hashes; a text with both labels is toxic.
-    Only hashes are ranked, first in groups and then the best of these."""
-    rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), (F.col(label) != 0).alias("toxic")).withColumn("h", F.xxhash64("text"))
-    chosen = rows.groupBy("h").agg(F.max("toxic").alias("toxic")).withColumn("group", F.pmod("h", F.lit(32)))
+    Only ids and hashes meet the labels and are ranked, first in groups and then the best of these."""
+    h = F.xxhash64(F.col(text))
+    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), h.alias("h")).join(labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), (F.col(label) != 0).alias("toxic")), "id")
+    chosen = known.groupBy("h").agg(F.max("toxic").alias("toxic")).withColumn("group", F.pmod("h", F.lit(32)))
     most = F.when(F.col("toxic"), toxic).otherwise(ordinary)
     for keys in (["toxic", "group"], ["toxic"]):
         chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("rank") <= most)
     chosen = chosen.select("h", "toxic")  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
-    return rows.select("h", "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    return docs.select(F.col(text).alias("text"), h.alias("h")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])
 
 
 def _pieces(sample: DataFrame) -> DataFrame:
@@ -152,17 +154,21 @@ def _dictionaries(base: bytes, telling: list[str]) -> tuple[bytes, bytes]:
     return tuple(base + own.rjust(room, b"\n") + HEAD for own in (toxic, ordinary))
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_ordinary: int = SAMPLE_ORDINARY, window: int = WINDOW_WORDS) -> Model:
-    """A model of the labelled rows; those with a null text or label don't count.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_ordinary: int = SAMPLE_ORDINARY, window: int = WINDOW_WORDS) -> Model:
+    """A model of the documents that have labels; those with a null id, text or label don't count, and of several labels
+    of a text any that isn't 0 makes it toxic.
 
     Learned from at most ``sample_toxic`` distinct texts whose label isn't 0 and ``sample_ordinary`` of label 0, whole
     and of any length. Pieces are counted in Spark; the driver gets at most ``MAX_CANDIDATES`` of them, pieces of
     ordinary texts of about 4 * ``BASE_BYTES``, and a count by gain. Without texts of both labels every score is 0."""
-    sample = _sample(train, text, label, sample_toxic, sample_ordinary)
+    held = Scratch(docs.sparkSession)
+    sample = held.table(_sample(docs, labels, doc_id, text, label, sample_toxic, sample_ordinary), "toxicity-sample")
     calibrates = F.pmod(F.shiftright("h", 7), F.lit(CALIBRATE_ONE_IN)) == 0
     fitted = sample.where(~calibrates)
-    model = Model(*_dictionaries(_base(fitted), _telling(_pieces(fitted))), (0,), (0.0,))
+    pieces = held.table(_pieces(fitted), "toxicity-pieces")
+    model = Model(*_dictionaries(_base(fitted), _telling(pieces)), (0,), (0.0,))
     counts = score(sample.where(calibrates).select("text", F.col("toxic").alias("__toxic")), model, window=window).groupBy("gain").agg(F.count("*").alias("n"), F.sum(F.col("__toxic").cast("long")).alias("toxic")).collect()
+    held.keep()
     return Model(model.toxic, model.ordinary, *_calibrated({r["gain"]: (r["toxic"], r["n"]) for r in counts}))
 
 
@@ -277,10 +283,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", window: int = WINDO
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity of every document, by labels of those not held out; nulls and empty texts as in ``score``. Of several
-    labels of a document, any that isn't 0 makes it toxic."""
+    """The toxicity of every document, by labels of those not held out; nulls and empty texts as in ``score``, labels as
+    in ``fit``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = fit(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted", "gain", "worst")
