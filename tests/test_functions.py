@@ -5,8 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.functions import codes, ids, nested, text
-from lexspark.operators import gate
+from lexspark.functions import codes, ids, nested, similarity, text
 
 
 def one(spark, value, column, kind="string"):
@@ -82,7 +81,7 @@ def test_fold_agrees_with_exact_fold_on_letters_of_one_plain_form(spark):
 
 def test_ratio_keeps_the_order_of_its_arguments(spark):
     rows = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string")
-    assert [r[0] for r in rows.select(gate.ratio("a", "b")).collect()] == [difflib.SequenceMatcher(None, "tide", "diet").ratio(), difflib.SequenceMatcher(None, "diet", "tide").ratio()]
+    assert [r[0] for r in rows.select(similarity.ratio(F.col("a"), F.col("b"))).collect()] == [difflib.SequenceMatcher(None, "tide", "diet").ratio(), difflib.SequenceMatcher(None, "diet", "tide").ratio()]
 
 
 @pytest.mark.parametrize("said", ['{"rows": [1]}', 'Sure: {"rows": [1]} ok', "[1]"])
