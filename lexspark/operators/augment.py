@@ -3,16 +3,21 @@ batches, how answers are merged and applied."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import nested, text
-from lexspark.sources.sinks import CacheStore
+from lexspark.session import Scratch
+from lexspark.sources.sinks import AnswerJournal, CacheStore
 
 MODES = ("short", "keywords", "all")
+ANSWER = "id string, augmented_description string, keywords array<string>"
+#: Tasks of one job that asks, each with a batch.
+MAX_TASKS = 10_000
 #: Takes items (dicts with an id) and returns one answer for each: {"id", "augmented_description", "keywords"}.
 Provider = Callable[[list[dict]], list[dict]]
 
@@ -75,7 +80,51 @@ def ask(items: DataFrame, provider: Provider, fallback: Provider, batch_size: in
                 got = halving(provider, fallback, rows[at : at + batch_size])
                 yield pd.DataFrame({"id": [r["id"] for r in got], "augmented_description": [r.get("augmented_description") for r in got], "keywords": [list(r.get("keywords") or []) for r in got]})
 
-    return items.mapInPandas(run, "id string, augmented_description string, keywords array<string>")
+    return items.mapInPandas(run, ANSWER)
+
+
+#: Batches are numbered in so many groups by id, so that no task numbers them all.
+NUMBER_GROUPS = 256
+
+
+def batched(items: DataFrame, batch_size: int) -> tuple[DataFrame, int]:
+    """``items`` with their batch (0, 1, ...), and the number of batches: ``batch_size`` items each, the last may have
+    fewer. Items are ranked in groups by hash; the driver adds up the groups' sizes."""
+    rows = items.withColumn("__group", F.pmod(F.xxhash64("id"), F.lit(NUMBER_GROUPS)).cast("int"))
+    sizes = {r["__group"]: r["count"] for r in rows.groupBy("__group").count().collect()}  # NUMBER_GROUPS rows
+    before = [sum(n for g, n in sizes.items() if g < k) for k in range(NUMBER_GROUPS + 1)]
+    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("__group") + 1)
+    number = first + F.row_number().over(Window.partitionBy("__group").orderBy("id")) - 1
+    return rows.withColumn("batch", F.floor(number / batch_size).cast("int")).drop("__group"), -(-before[-1] // batch_size)
+
+
+def ask_once(items: DataFrame, journal: AnswerJournal, provider: Provider, fallback: Provider, batch_size: int = 20, parallel: int | None = None, pause: float = 0.0) -> DataFrame:
+    """Answers to ``items`` (id, ...) from a journal; a provider is asked for those that aren't in it.
+
+    A batch is a task, and what it answers is in the journal when the task ends, before anything reads it: no other
+    batch is asked for again if a task is retried or the job fails, and a rerun asks for what has no answer yet. With
+    ``parallel``, jobs of that many tasks follow one another, so that the cluster never makes more calls at once, and
+    each call is followed by ``pause`` seconds. Rows that repeat an id are asked for once; a null id isn't."""
+    held = Scratch(items.sparkSession)
+    known = journal.read(ANSWER)
+    rows = items.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    rows, n = batched(held.table(rows.join(known.select("id"), "id", "left_anti"), "to-ask"), batch_size)
+    rows = held.table(rows, "batches")
+
+    def paced(part: list[dict]) -> list[dict]:
+        try:
+            return provider(part)
+        finally:
+            time.sleep(pause)
+
+    at_once = min(parallel or MAX_TASKS, MAX_TASKS)
+    for first in range(0, n, at_once):
+        wave = rows.where(F.col("batch").between(first, first + at_once - 1))
+        wave = wave.repartitionById(min(at_once, n - first), F.col("batch") - first).drop("batch")
+        journal.append(ask(wave, paced if pause else provider, fallback, batch_size))
+    answers = held.table(items.select("id").distinct().join(journal.read(ANSWER), "id"), "answers")
+    held.keep(answers)
+    return answers
 
 
 #: Takes a page's targets (dicts with index, code, description) and returns updates of the same kind.
@@ -110,17 +159,19 @@ def improve_rows(rows: DataFrame, improver: Improver, page: tuple[str, ...] = ("
     return rows.join(good, [*page, pos], "left").withColumn("description", F.coalesce("__better", "description")).select(*rows.columns)
 
 
-def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1) -> DataFrame:
+def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1, parallel: int | None = None, pause: float = 0.0) -> DataFrame:
     """Everything that keeps a cache up to date: what is pending for ``objects`` (id, description) is asked for in
     batches, merged and stored as a new version. With several ``rounds``, that many parts by id are stored one after
-    another, so that a run that breaks off keeps the parts before. Returns the current cache."""
+    another. Answers go to the journal of the version to come first (``ask_once``, with ``parallel`` and ``pause``), so a
+    run that breaks off keeps all of them. Returns the current cache."""
     spark = objects.sparkSession
-    empty = spark.createDataFrame([], "id string, augmented_description string, keywords array<string>")
+    empty = spark.createDataFrame([], ANSWER)
     for part in range(rounds):
         held = store.read()
         cache = empty if held is None else held
         todo = pending(objects.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == part), cache, mode)
-        store.write(merge_cache(cache, ask(todo.select("id", "description"), provider, fallback, batch_size)))
+        answers = ask_once(todo.select("id", "description"), store.journal(), provider, fallback, batch_size, parallel, pause)
+        store.write(merge_cache(cache, answers))
     return store.read()
 
 

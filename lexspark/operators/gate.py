@@ -101,7 +101,7 @@ def candidates(forms: DataFrame, sets: DataFrame, held: Scratch) -> DataFrame:
     of_forms = forms.select("form", F.explode("qts").alias("qt"), k.alias("k"), (1 - missing / k - 1e-9).alias("least")).join(df, "qt", "left")
     rarest = Window.partitionBy("form").orderBy(F.coalesce("df", F.lit(0)), "qt")
     telling = held.table(of_forms.withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= F.col("k")).select("form", "qt", "least"), "fuzzy-telling")
-    alike = similar_tokens(telling, of_sets, telling.agg(F.min("least")).first()[0] or 1.0)
+    alike = similar_tokens(telling, of_sets, TELLING)
     return telling.join(alike, "qt").where(F.col("similarity") >= F.col("least")).join(of_sets, "ct").select("form", "object_id").distinct()
 
 
@@ -113,6 +113,8 @@ def fuzzy_match(queries: DataFrame, objects: DataFrame, query_id: str = "query_i
     Of the ``candidates`` those go whose letters don't allow the average; the rest is compared exactly, each pair of
     tokens once."""
     held = Scratch(queries.sparkSession)
+    if base_avg < TELLING:
+        raise ValueError(f"base_avg must be {TELLING} or more")
     noise = F.array(*map(F.lit, text.QUERY_NOISE))
     long = lambda c: F.filter(text.normalized_tokens(c), lambda t: F.length(t) >= MIN_TOKEN)
     asked = queries.select(F.col(query_id).alias("query_id"), fuzzy_thresholds(F.col(query), base_avg, base_max).alias("t"), F.array_sort(F.array_except(long(F.col(query)), noise)).alias("qts")).where(F.size("qts") > 0)

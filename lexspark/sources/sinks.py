@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.session import delete_path
+from lexspark.session import Scratch, delete_path
 from lexspark.sources.files import ROW_COLUMNS
 
 
@@ -27,6 +27,27 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.select(*ROW_COLUMNS).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
+class AnswerJournal:
+    """Answers as they come: each batch is a file of its own that is there as soon as its task ends, whatever becomes of
+    the job. A rerun finds the ids that have an answer."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, answers: DataFrame) -> None:
+        """One file for each partition, committed with its task and not with the job."""
+        answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.path)
+
+    def read(self, schema: str) -> DataFrame:
+        """Of each id one answer: should a task have been lost after its file was there, the one in the first file."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(self.path)
+        names = [c for c in rows.columns if c != "id"]
+        return rows.select("*", F.col("_metadata.file_path").alias("__file")).groupBy("id").agg(F.min_by(F.struct(*names), "__file").alias("r")).select("id", "r.*")
+
+
 class CacheStore:
     """A keyed cache as versions v1, v2, ... under a folder; the last is current, those before are its history."""
 
@@ -47,16 +68,33 @@ class CacheStore:
         return self.spark.read.parquet(f"{self.path}/v{version or v[-1]}") if v else None
 
     def write(self, cache: DataFrame) -> int:
-        """A new version, unless the cache is what the last one holds. Returns the current version."""
+        """A new version, unless the cache is what the last one holds. Returns the current version. The cache is
+        worked out once, before it is compared and sorted."""
+        v, held = self.versions(), Scratch(self.spark)
+        cache = held.table(cache, "cache")
+        try:
+            if v:
+                old = self.read()
+                if old.schema == cache.schema and old.exceptAll(cache).isEmpty() and cache.exceptAll(old).isEmpty():
+                    return v[-1]
+            new = self.next_version()
+            cache.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/v{new}")
+            return new
+        finally:
+            held.keep()
+
+    def next_version(self) -> int:
         v = self.versions()
-        if v:
-            old = self.read()
-            same = old.schema == cache.schema and old.exceptAll(cache).isEmpty() and cache.exceptAll(old).isEmpty()
-            if same:
-                return v[-1]
-        new = (v[-1] if v else 0) + 1
-        cache.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/v{new}")
-        return new
+        return (v[-1] if v else 0) + 1
+
+    def journal(self) -> AnswerJournal:
+        """Where answers are kept until the next version has them."""
+        return AnswerJournal(self.spark, f"{self.path}/journal/v{self.next_version()}")
+
+    def answered(self) -> DataFrame:
+        """(id, version): one row for every answer of all journals, under the version that took it in."""
+        at = F.regexp_extract(F.col("_metadata.file_path"), r"/journal/v(\d+)/", 1).cast("int")
+        return self.spark.read.schema("id string").option("recursiveFileLookup", True).parquet(f"{self.path}/journal").select("id", at.alias("version"))
 
     def prune(self, keep: int = 5) -> None:
         for v in self.versions()[:-keep]:
