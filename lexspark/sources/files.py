@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text
 
 ROW_COLUMNS = ["pdf", "page", "country", "code", "description"]
-PAGE_SCHEMA = "pdf string, page int, dpi int, model string, country string, raw string, error string, usage map<string,bigint>, rows array<struct<code:string,description:string>>, written bigint"
+PAGE_SCHEMA = "pdf string, page int, dpi int, model string, country string, raw string, error string, usage map<string,bigint>, rows array<struct<code:string,description:string>>, written bigint, commit bigint, row bigint"
 CACHE_SCHEMA = "id string, model string, augmented_description string, keywords array<string>"
 
 
@@ -25,15 +25,22 @@ def _place() -> Column:
     return F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
+def _appended() -> Column:
+    """Orders records as they were appended: by the number of the commit and of the row in it, which ``append_log``
+    writes. Records without them come first, by the time they may carry, then by place in the files."""
+    zero = F.lit(0)
+    return F.struct(F.coalesce("commit", zero).alias("commit"), F.coalesce("written", zero).alias("written"), F.coalesce("row", zero).alias("row"), _place().alias("at"))
+
+
 def image_url(content: Column, kind: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
 
 
 def read_page_log(spark: SparkSession, path: str) -> DataFrame:
     """A page log of JSON lines; keys may come and go, lines that don't parse are dropped. Adds ``place``, which orders
-    records as they were appended: by the time that ``append_log`` has written, then by place in the files."""
+    records as they were appended."""
     df = spark.read.schema(PAGE_SCHEMA + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.withColumn("place", F.struct(F.coalesce("written", F.lit(0)).alias("written"), _place().alias("at"))).where(F.col("_bad").isNull() & F.col("pdf").isNotNull() & F.col("page").isNotNull()).drop("_bad", "written")
+    return df.withColumn("place", _appended()).where(F.col("_bad").isNull() & F.col("pdf").isNotNull() & F.col("page").isNotNull()).drop("_bad", "written", "commit", "row")
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +69,9 @@ def read_attribute_schemas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str, limit: int = 12) -> DataFrame:
-    """(id, model, augmented_description, keywords): of each id the last line, files by time."""
-    df = spark.read.schema(CACHE_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    df = df.withColumn("_at", _place()).where(F.col("_bad").isNull() & (F.coalesce("id", F.lit("")) != ""))
+    """(id, model, augmented_description, keywords): of each id the last line as they were appended."""
+    df = spark.read.schema(CACHE_SCHEMA + ", written bigint, commit bigint, row bigint, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    df = df.withColumn("_at", _appended()).where(F.col("_bad").isNull() & (F.coalesce("id", F.lit("")) != ""))
     w = Window.partitionBy("id").orderBy(F.col("_at").desc())
     df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
     return df.select("id", "model", F.nullif(text.norm_space("augmented_description"), F.lit("")).alias("augmented_description"), text.clean_keywords(F.col("keywords"), limit).alias("keywords"))

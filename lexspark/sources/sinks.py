@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,24 @@ from lexspark.session import Scratch, delete_path
 from lexspark.sources.files import ROW_COLUMNS
 
 
+def _claim(spark: SparkSession, path: str) -> int:
+    """The number of a new commit: one more than the last. A number is taken by making its file, which only one writer
+    can, so that no clock and no time of a file matters."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_commits")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    number = max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0) + 1
+    while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, str(number))):
+        number += 1
+    return number
+
+
 def append_log(df: DataFrame, path: str) -> None:
-    """Records as JSON lines with the time of this call, which orders them after those of all calls before."""
-    df.withColumn("written", F.lit(time.time_ns())).write.mode("append").option("ignoreNullFields", False).json(path)
+    """Records as JSON lines, each with the number of this commit and of its row: later commits come after earlier ones,
+    and rows in the order of ``df``. Readers order by them whatever the files' times, sizes and names."""
+    numbered = df.withColumn("commit", F.lit(_claim(df.sparkSession, path))).withColumn("row", F.monotonically_increasing_id())
+    numbered.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

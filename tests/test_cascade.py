@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from lexspark.functions import text
+from lexspark.operators import lexicon, search
 from lexspark.plans import registry
 from tests.conftest import SF
 from tests.test_fuzzy import forms, least, similarity
@@ -76,6 +77,7 @@ def best_code(query, objects, score):
     return (max(avg, most), -i) if avg >= low and most >= high else None
 
 
+#: Least similarity of two tokens.
 def threshold(n_query, a, b):
     n = min(len(a), len(b))
     return 0.9 if n_query != 1 else 0.83 if n >= 6 else 0.85 if n == 5 else 0.9
@@ -195,3 +197,13 @@ def test_answers_equal_a_plain_loop(spark, parts, attributes):
             if g[slot]:
                 g[slot]["score"] = near(g[slot]["score"])
     assert got == want
+
+
+def test_products_outside_the_lexicon_are_known_by_name(spark):
+    """A product that only triples have: alone where the query says no more, else its attribute."""
+    triples = [(1, "Green Tea", "Form", "Leaf"), (2, "Green Tea", "Form", "Powder"), (3, "Black Pepper", "Origin", "Malabar"), (4, "", "Form", "Leaf")]
+    rows = spark.createDataFrame([(*t, [], " ".join(t[1:])) for t in triples], "object_id long, product string, attribute_type string, attribute_value string, keywords array<string>, text string")
+    tokens = lexicon.product_tokens(spark.createDataFrame([("Black Pepper", ["kali mirch"])], "id string, keywords array<string>"))
+    asked = spark.createDataFrame([("a", "green tea"), ("b", "green tea powder"), ("c", "grean tea"), ("d", "malabar"), ("e", "nothing known")], "query_id string, query string")
+    got = {r["query_id"]: (r["product"], r["attribute_value"]) for r in search.best_attribute(asked, rows, tokens, search.Options()).collect()}
+    assert got == {"a": ("Green Tea", None), "b": ("Green Tea", "Powder"), "d": ("Black Pepper", "Malabar")}

@@ -1,4 +1,6 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -49,6 +51,41 @@ def test_cache_last_line_wins_and_versions(spark, tmp_path):
     assert store.read().count() == 1 and store.read(1).count() == 2
 
 
+@pytest.mark.parametrize("kind", ["cache", "pages"])
+def test_last_line_wins_with_equal_file_times(spark, tmp_path, kind):
+    """Commits of many rows and parts, whose files all get one time; also lines of one commit that repeat a key."""
+    path = f"file://{tmp_path}/log"
+    for n in range(6):
+        rows = [(f"k{i % 40}", f"{n}-{i}") for i in range(80)]
+        df = spark.createDataFrame(rows, "id string, v string").repartitionByRange(1 + n % 3, "v") if n == 0 else spark.createDataFrame(rows, "id string, v string").coalesce(1 + n % 3)
+        if kind == "cache":
+            sinks.append_log(df.select("id", F.lit("m").alias("model"), F.col("v").alias("augmented_description"), F.array(F.lit("word")).alias("keywords")), path)
+        else:
+            row = F.array(F.struct(F.lit("0101").alias("code"), F.col("v").alias("description")))
+            sinks.append_log(df.select(F.col("id").alias("pdf"), F.lit(1).alias("page"), row.alias("rows")), path)
+    for f in (tmp_path / "log").glob("part-*"):
+        os.utime(f, (1_000_000, 1_000_000))
+    if kind == "cache":
+        got = {r["id"]: r["augmented_description"] for r in files.read_cache(spark, path).collect()}
+    else:
+        got = {r["pdf"]: r["description"] for r in files.rows_of_log(files.read_page_log(spark, path)).collect()}
+    assert got == {f"k{i}": f"5-{i + 40}" for i in range(40)}
+
+
+def test_commits_are_numbered_without_a_clock(spark, tmp_path):
+    """Writers at once get numbers of their own; older records, with times, come first."""
+    path = f"file://{tmp_path}/log"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "old.json").write_text('{"id": "a", "model": "m", "augmented_description": "old", "keywords": ["word"], "written": 9000000000000000000}\n')
+    taken = [sinks._claim(spark, path) for _ in range(3)]
+    with ThreadPoolExecutor(4) as pool:
+        taken += pool.map(lambda _: sinks._claim(spark, path), range(8))
+    assert sorted(taken) == list(range(1, 12))
+    one = spark.createDataFrame([("a", "m", "new", ["word"])], files.CACHE_SCHEMA)
+    sinks.append_log(one, path)
+    assert files.read_cache(spark, path).first()["augmented_description"] == "new"
+
+
 def test_upsert_is_idempotent(spark):
     objects = spark.createDataFrame([("US", "01012100", "x"), ("CA", "01012100", "y")], "country string, digits string, description string")
     once = index.upsert(None, objects, "national")
