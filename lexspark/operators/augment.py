@@ -98,17 +98,17 @@ def batched(items: DataFrame, batch_size: int) -> tuple[DataFrame, int]:
     return rows.withColumn("batch", F.floor(number / batch_size).cast("int")).drop("__group"), -(-before[-1] // batch_size)
 
 
-def ask_once(items: DataFrame, journal: AnswerJournal, provider: Provider, fallback: Provider, batch_size: int = 20, parallel: int | None = None, pause: float = 0.0) -> DataFrame:
+def ask_once(items: DataFrame, journal: AnswerJournal, provider: Provider, fallback: Provider, batch_size: int = 20, parallel: int | None = None, pause: float = 0.0, calls_per_task: int = 1) -> DataFrame:
     """Answers to ``items`` (id, ...) from a journal; a provider is asked for those that aren't in it.
 
     A batch is a task, and what it answers is in the journal when the task ends, before anything reads it: no other
-    batch is asked for again if a task is retried or the job fails, and a rerun asks for what has no answer yet. With
-    ``parallel``, jobs of that many tasks follow one another, so that the cluster never makes more calls at once, and
+    batch is asked for again if a task is retried or the job fails, and a rerun asks for what has no answer yet. Where
+    calls are cheap a task may make several (``calls_per_task``), which are then lost together. With ``parallel``, jobs of that many tasks follow one another, so that the cluster never makes more calls at once, and
     each call is followed by ``pause`` seconds. Rows that repeat an id are asked for once; a null id isn't."""
     held = Scratch(items.sparkSession)
     known = journal.read(ANSWER)
     rows = items.where(F.col("id").isNotNull()).dropDuplicates(["id"])
-    rows, n = batched(held.table(rows.join(known.select("id"), "id", "left_anti"), "to-ask"), batch_size)
+    rows, n = batched(held.table(rows.join(known.select("id"), "id", "left_anti"), "to-ask"), batch_size * calls_per_task)
     rows = held.table(rows, "batches")
 
     def paced(part: list[dict]) -> list[dict]:
@@ -159,18 +159,18 @@ def improve_rows(rows: DataFrame, improver: Improver, page: tuple[str, ...] = ("
     return rows.join(good, [*page, pos], "left").withColumn("description", F.coalesce("__better", "description")).select(*rows.columns)
 
 
-def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1, parallel: int | None = None, pause: float = 0.0) -> DataFrame:
+def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1, parallel: int | None = None, pause: float = 0.0, calls_per_task: int = 1) -> DataFrame:
     """Everything that keeps a cache up to date: what is pending for ``objects`` (id, description) is asked for in
     batches, merged and stored as a new version. With several ``rounds``, that many parts by id are stored one after
-    another. Answers go to the journal of the version to come first (``ask_once``, with ``parallel`` and ``pause``), so a
-    run that breaks off keeps all of them. Returns the current cache."""
+    another. Answers go to the journal of the version to come first (``ask_once``, which takes ``parallel``, ``pause`` and
+    ``calls_per_task``), so a run that breaks off keeps all of them. Returns the current cache."""
     spark = objects.sparkSession
     empty = spark.createDataFrame([], ANSWER)
     for part in range(rounds):
         held = store.read()
         cache = empty if held is None else held
         todo = pending(objects.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == part), cache, mode)
-        answers = ask_once(todo.select("id", "description"), store.journal(), provider, fallback, batch_size, parallel, pause)
+        answers = ask_once(todo.select("id", "description"), store.journal(), provider, fallback, batch_size, parallel, pause, calls_per_task)
         store.write(merge_cache(cache, answers))
     return store.read()
 

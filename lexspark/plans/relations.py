@@ -205,8 +205,8 @@ def q56(spark: SparkSession, d: str) -> DataFrame:
     often an item was asked for is in the journals."""
     store = sinks.CacheStore(spark, scratch_path(spark, "cache-store"))
     items = table(spark, d, "part").select(_key().cast("string").alias("id"), F.col("p_name").alias("description"))
-    augment.refresh(store, items, _provider, _fallback, rounds=3)
-    cache = augment.refresh(store, items, _provider, _fallback).withColumn("keywords", F.array_join("keywords", ","))
+    augment.refresh(store, items, _provider, _fallback, rounds=3, calls_per_task=50)
+    cache = augment.refresh(store, items, _provider, _fallback, calls_per_task=50).withColumn("keywords", F.array_join("keywords", ","))
     return cache.join(store.answered().groupBy("id").agg(F.count("*").alias("asked")), "id", "left")
 
 
