@@ -40,7 +40,7 @@ class VectorIndex:
     least: np.ndarray
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return self.spark.read.schema("ids array<bigint>, matrix array<double>, list int").parquet(f"{self.path}/blocks")
 
 
 def unit(v: Column) -> Column:
