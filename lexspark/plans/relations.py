@@ -10,6 +10,7 @@ from lexspark.operators import augment, extract, index
 from lexspark.plans.common import PART_TRIPLES, part_triples, registrar, sql_space, table
 from lexspark.session import scratch_path
 from lexspark.sources import files, sinks
+from lexspark.sources.buckets import BucketTable
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -214,3 +215,14 @@ def q56(spark: SparkSession, d: str) -> DataFrame:
 def q59(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d).withColumn("code", F.when(_key() % 3 == 0, F.concat("code", F.lit(".1234"))).otherwise(F.col("code")))
     return rows.select("p_partkey", codes.national_country(F.col("code"), F.col("country")).alias("country"))
+
+
+@query("q62_bucket_merge", """SELECT 'US' AS country, lpad(c_custkey::VARCHAR, 8, '0') AS digits, CASE WHEN c_acctbal < 0 THEN 'owes ' ELSE '' END || c_name AS description FROM customer
+UNION ALL SELECT 'CA', lpad(s_suppkey::VARCHAR, 8, '0'), s_name FROM supplier""")
+def q62(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of customers in buckets, into which those that owe and then suppliers are merged."""
+    store, c, s = BucketTable(spark, scratch_path(spark, "objects")), table(spark, d, "customer"), table(spark, d, "supplier")
+    of = lambda rows, country, key, said: rows.select(F.lit(country).alias("country"), F.lpad(F.col(key).cast("string"), 8, "0").alias("digits"), said.alias("description"))
+    for objects in (of(c, "US", "c_custkey", F.col("c_name")), of(c.where("c_acctbal < 0"), "US", "c_custkey", F.concat(F.lit("owes "), "c_name")), of(s, "CA", "s_suppkey", F.col("s_name"))):
+        store.merge(index.upsert(None, objects, "national"))
+    return store.read().select("country", "digits", "description")
