@@ -7,7 +7,8 @@ of ``license_scan``.
 Two exact bounds keep it cheap. A run reaches t with a template of n bigrams only if it shares t / 2 * (n + least
 size) of them, and so does the text that has the run; most texts don't. Of the others, a run that begins with lines
 that share nothing is beaten by the run without them, so runs begin at lines that share something, and grow until they
-have more bigrams than the template allows. All of it happens in the row; nothing is shuffled.
+have more bigrams than the template allows. A run grows by the lines that add a bigram to it only, so by one more than
+the template allows at most, however often a text repeats. All of it happens in the row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -40,7 +41,17 @@ def _lines(words: Column) -> Column:
     return F.transform(F.arrays_zip(words.alias("w"), before.alias("x"), after.alias("y")), lambda r: F.struct(_pairs(r["w"]).alias("inner"), link(r["x"], r["w"]).alias("before"), link(r["w"], r["y"]).alias("after")))
 
 
-def _best(lines: Column, t: Column) -> Column:
+def _news(lines: Column) -> Column:
+    """(line, seen) of every line but the first, in order: the line adds nothing to a run that begins at line i if 2 * i
+    is not above ``seen``. A bigram inside line i has the place 2 * i, the one that links it to the line before 2 * i - 1;
+    a line's ``seen`` is the least of the places where its bigrams stood last, or -1."""
+    placed = F.flatten(F.transform(lines, lambda x, i: F.concat(F.array(F.struct(x["before"].alias("g"), (2 * i - 1).alias("at"))), F.transform(F.array_distinct(x["inner"]), lambda g: F.struct(g.alias("g"), (2 * i).alias("at"))))))
+    last = lambda p: F.transform(p, lambda e, k: F.struct(F.floor((e["at"] + 1) / 2).cast("int").alias("line"), F.when((k > 0) & (F.get(p, k - 1)["g"] == e["g"]), F.get(p, k - 1)["at"]).otherwise(-1).alias("seen")))
+    least = lambda e: F.filter(e, lambda x, k: (x["line"] > 0) & ((k == 0) | (F.get(e, k - 1)["line"] != x["line"])))
+    return _let(F.sort_array(_let(F.sort_array(F.filter(placed, lambda e: e["g"].isNotNull())), last)), least)
+
+
+def _best(lines: Column, news: Column, t: Column) -> Column:
     """The greatest Dice coefficient of a template with a run of lines; 0 if none has a fitting size."""
 
     def grown(at: Column, line: Column) -> Column:
@@ -57,7 +68,13 @@ def _best(lines: Column, t: Column) -> Column:
     start = F.struct(F.lit(True).alias("first"), F.array().cast("array<string>").alias("g"), F.lit(0.0).alias("best"))
     begins = F.transform(lines, lambda x, i: F.when(F.arrays_overlap(F.concat(x["inner"], F.array(x["after"])), t["g"]), i))
     begins = F.filter(begins, lambda i: i.isNotNull())
-    return F.coalesce(F.array_max(F.transform(begins, lambda i: F.aggregate(F.slice(lines, i + 1, F.size(lines)), start, grown, lambda at: at["best"]))), F.lit(0.0))
+
+    def from_line(i: Column) -> Column:
+        more = F.filter(F.slice(news, i + 1, F.size(lines)), lambda n: n["seen"] < 2 * i)
+        taken = F.concat(F.array(i), F.transform(F.slice(more, F.lit(1), t["high"] + 1), lambda n: n["line"]))
+        return F.aggregate(taken, start, lambda at, j: grown(at, F.get(lines, j)), lambda at: at["best"])
+
+    return F.coalesce(F.array_max(F.transform(begins, from_line)), F.lit(0.0))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_dice: float = MIN_DICE, text: str = "text") -> DataFrame:
@@ -78,7 +95,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_dice: fl
         shared = _let(words, lambda w: F.array_intersect(_pairs(w), every))
         rows = rows.withColumn("__f", _let(shared, lambda s: F.filter(known, lambda t: F.size(F.array_intersect(t["g"], s)) >= t["need"])))
         by_line = F.filter(F.transform(F.split("__w", "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")), lambda w: F.size(w) > 0)
-        match = _let(_let(by_line, _lines), lambda lines: F.transform(F.col("__f"), lambda t: F.struct((-_best(lines, t)).alias("neg"), t["name"].alias("name"))))
+        match = _let(_let(by_line, _lines), lambda lines: _let(_news(lines), lambda news: F.transform(F.col("__f"), lambda t: F.struct((-_best(lines, news, t)).alias("neg"), t["name"].alias("name")))))
         rows = rows.withColumn("__m", F.when(F.size("__f") > 0, F.filter(match, lambda m: m["neg"] <= -min_dice)).otherwise(F.array().cast(found)))
     else:
         rows = docs.withColumn("__m", F.array().cast(found))
@@ -91,5 +108,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_dice: fl
 
 
 def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: licenses joined by ``;`` in order of name, the best one and its coefficient to six digits.
+    A null or empty text, or one without two words, has an empty text of licenses and nulls; of ties the first name is
+    the best; repeated rows each have their row, an empty table none. Texts of any length are read whole."""
     rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.array_join("licenses", ";").alias("licenses"), "best_license", F.round("best_dice", 6).alias("best_dice"))

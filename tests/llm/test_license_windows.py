@@ -1,6 +1,8 @@
 """Licences of several lines and paragraphs inside longer texts, against all runs of lines."""
 
+import random
 import re
+import time
 
 import pytest
 
@@ -54,3 +56,25 @@ def test_windows_equal_brute_force(spark):
     got = {r["doc_id"]: (";".join(r["licenses"]), r["best_license"], r["best_dice"] and round(r["best_dice"], 6)) for r in license_windows.scan(docs).collect()}
     assert [(t, got[i], brute(t)) for i, (_, t) in enumerate(rows) if got[i] != brute(t)] == []
     assert license_windows.scan(docs.limit(0)).count() == 0 and license_windows.scan(docs, {}).where("size(licenses) > 0").count() == 0
+
+
+def test_lines_that_come_again_equal_brute_force(spark):
+    rng, lines = random.Random(5), laid_out(license_scan.TEMPLATES["MIT"], 7, 0).split("\n")
+    odd = ["the", "software", "the software", "software the software", "other words here", "of the software"]
+    texts = ["\n".join(lines * 3), "\n".join(rng.choices(lines, k=60)), "\n".join(lines + lines[::-1] + lines[3:])]
+    for _ in range(12):
+        at = rng.randrange(len(lines))
+        mixed = lines[:at] + rng.choices(odd + lines[:4], k=rng.randrange(1, 12)) + lines[at:]
+        texts.append("\n".join(mixed * rng.randrange(1, 4)))
+    short = license_scan.TEMPLATES["MIT"].split()
+    texts += ["\n".join(rng.choices(short, k=120)) for _ in range(3)]
+    got = {r["doc_id"]: (";".join(r["licenses"]), r["best_license"], r["best_dice"] and round(r["best_dice"], 6)) for r in license_windows.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != brute(t)] == [] and sum(bool(g[0]) for g in got.values()) > 5
+
+
+def test_a_licence_of_5000_lines_takes_seconds(spark):
+    lines = laid_out(license_scan.TEMPLATES["MIT"], 9, 0).split("\n")
+    text = "\n".join((lines * (5_000 // len(lines) + 1))[:5_000])
+    begin = time.perf_counter()
+    row = license_windows.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert "MIT" in row["licenses"] and row["best_dice"] == 1.0 and time.perf_counter() - begin < 60
