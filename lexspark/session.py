@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only if the session names no folder and has no executors elsewhere.
@@ -51,6 +52,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def make_once(spark: SparkSession, path: str, content: bytes = b"") -> bool:
+    """Make a file that must not be there yet: of several writers one succeeds. Hadoop's local file system only looks
+    first, so there the operating system is asked."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            with open(fs.makeQualified(p).toUri().getPath(), "xb") as out:
+                out.write(content)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(content))
+    out.close()
+    return True
+
+
 class Scratch:
     """The intermediate tables of one operator. What a frame still to be run reads must outlive it, so the operator
     says when a table may go."""

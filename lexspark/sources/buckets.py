@@ -11,12 +11,11 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexspark.session import Scratch, delete_path
+from lexspark.session import Scratch, delete_path, make_once
 
 
 @dataclass(frozen=True)
@@ -99,16 +98,7 @@ class BucketTable:
 
     def _commit(self, m: Manifest) -> bool:
         """Whether ``m`` has become the next version."""
-        fs, p = self._hadoop(f"{self.path}/manifests/{m.number}.json")
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError:
-            if fs.exists(p):
-                return False
-            raise
-        out.write(bytearray(json.dumps(vars(m)).encode()))
-        out.close()
-        return True
+        return make_once(self.spark, f"{self.path}/manifests/{m.number}.json", json.dumps(vars(m)).encode())
 
     def vacuum(self, keep: int = 5) -> None:
         """Deletes all versions but the last ``keep``, and the folders that only they name. No merge may run meanwhile."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.session import Scratch, delete_path
+from lexspark.session import Scratch, delete_path, make_once
 from lexspark.sources.files import ROW_COLUMNS
 
 
@@ -17,7 +17,7 @@ def _claim(spark: SparkSession, path: str) -> int:
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
     number = max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0) + 1
-    while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, str(number))):
+    while not make_once(spark, f"{path.rstrip('/')}/_commits/{number}"):
         number += 1
     return number
 
