@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+
+from lexspark.functions.letters import FOLDED, PLAIN
 
 #: White space as Python's str.split sees it: Unicode's White_Space and four control characters.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
@@ -38,8 +37,8 @@ def _c(c: Text) -> Column:
 
 
 def casefold(c: Text) -> Column:
-    """Lower case for comparison; the German sharp s counts as ss."""
-    return F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case for comparison; the German sharp s counts as ss."""
+    return FOLDED.apply(F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss")))
 
 
 def norm_space(c: Text) -> Column:
@@ -141,9 +140,24 @@ def clean_keyword(c: Text) -> Column:
     return F.when((F.length(s) >= 2) & allowed_scripts(s), s)
 
 
+#: Items that are looked at first, for each one that is wanted; where they don't do, all are.
+LOOK_AHEAD = 4
+
+
+def _first_of(items: Column, limit: int, clean) -> Column:
+    """``clean(items)``, which gives the first ``limit`` of what it keeps: from the first items if those give as many."""
+    items = F.array_distinct(F.coalesce(items, F.array().cast("array<string>")))
+    # The first ``limit`` of the beginning are the first of all; so the rest is read only where they are fewer.
+    ahead = F.transform(F.array(clean(F.slice(items, 1, LOOK_AHEAD * limit))), lambda x: F.when((F.size(x) >= limit) | (F.size(items) <= LOOK_AHEAD * limit), x))
+    return F.coalesce(F.get(ahead, F.lit(0)), clean(items))
+
+
 def clean_keywords(items: Column, limit: int) -> Column:
     """Cleaned keywords, each once whatever its case, the first ``limit``."""
-    items = F.coalesce(items, F.array().cast("array<string>"))
+    return _first_of(items, limit, lambda x: _cleaned(x, limit))
+
+
+def _cleaned(items: Column, limit: int) -> Column:
     # Each step is bound once, as Spark computes a shared expression inside a lambda again at every use.
     s = F.transform(items, norm_space)
     s = F.transform(s, lambda x: F.regexp_replace(x, "(?i)^keywords:", ""))
@@ -152,13 +166,28 @@ def clean_keywords(items: Column, limit: int) -> Column:
     return stable_distinct(F.filter(s, lambda x: (F.length(x) >= 2) & allowed_scripts(x)), limit)
 
 
-def fallback_keywords(c: Text, limit: int = 8, stop: tuple[str, ...] = STOP_WORDS, colons: bool = False) -> Column:
-    """Words of a text as keywords where no model gave any: three letters at least, no stop words, each once."""
-    d = norm_space(c)
+def fallback_keywords(c: Text, limit: int = 8, stop: tuple[str, ...] = STOP_WORDS, colons: bool = False, context: Column | None = None) -> Column:
+    """Words of a text, then of the texts of its ``context``, as keywords where no model gave any: three letters at
+    least, no stop words, each once."""
+    d = norm_space(c if context is None else F.concat_ws(" ", _c(c), context))
     d = norm_space(F.replace(d, F.lit(":"), F.lit(" "))) if colons else d
-    words = F.transform(F.split(d, " "), lambda x: norm_edges(F.btrim(x, F.lit(TOKEN_EDGE))))
-    words = F.filter(words, lambda x: (F.length(x) >= 3) & (~casefold(x).isin(*stop) if stop else F.lit(True)))
-    return stable_distinct(words, limit)
+
+    def kept(words: Column) -> Column:
+        words = F.transform(words, lambda x: norm_edges(F.btrim(x, F.lit(TOKEN_EDGE))))
+        return stable_distinct(F.filter(words, lambda x: (F.length(x) >= 3) & (~casefold(x).isin(*stop) if stop else F.lit(True))), limit)
+
+    return _first_of(F.split(d, " "), limit, kept)
+
+
+def term_keywords(term: Text, id: Text) -> Column:  # noqa: A002
+    """The term itself as its keyword, or its id where it is empty; none where both are."""
+    said = norm_space(F.coalesce(F.nullif(_c(term), F.lit("")), _c(id)))
+    return F.filter(F.array(said), lambda x: x != "")
+
+
+def attribute_keywords(product: Text, kind: Text, value: Text, said: Text) -> Column:
+    """Words of a product, an attribute's type and value, and a text, as keywords where no model gave any."""
+    return fallback_keywords(F.concat_ws(" ", *map(_c, (product, kind, value, said))), 10, (), colons=True)
 
 
 def tokens(c: Text) -> Column:
@@ -170,27 +199,15 @@ def query_tokens(c: Text) -> Column:
     return F.array_except(tokens(c), F.array(*map(F.lit, QUERY_NOISE)))
 
 
-#: Letters with marks whose plain form is one letter, by rule: canonical decomposition without the marks.
-_MARKED = "".join(ch for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (ch := chr(cp)).isalpha() and len(p := "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))) == 1 and p != ch)
-_PLAIN = "".join("".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)) for ch in _MARKED)
-
-
 def fold(c: Text) -> Column:
-    """Latin letters without their marks; loose combining marks are dropped. Stays in the JVM."""
-    return F.regexp_replace(F.translate(_c(c), _MARKED, _PLAIN), r"\p{M}+", "")
-
-
-@pandas_udf(StringType())
-def fold_exact(s):  # noqa: ANN001, ANN201
-    """Compatibility decomposition without combining marks, for every script: for distinct tokens, not for texts."""
-    strip = lambda t: "".join(ch for ch in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(ch))
-    return s.map(strip)
+    """Compatibility decomposition without combining marks, for every script."""
+    return PLAIN.apply(_c(c))
 
 
 def token_variants(token: Column) -> Column:
     """The token, its folded form, and either without a plural s."""
-    t = casefold(token)
-    forms = F.array_distinct(F.array(t, fold(t)))
+    # A lambda's argument is computed once, a repeated expression inside another lambda at every use.
+    forms = F.array_distinct(F.flatten(F.transform(F.array(casefold(token)), lambda t: F.array(t, fold(t)))))
     singular = lambda v: v.rlike("^[\\x00-\\x7F]{3,}s$") & ~v.rlike("ss$")
     cut = F.transform(F.filter(forms, singular), lambda v: F.substring(v, F.lit(1), F.length(v) - 1))
     return F.filter(F.array_distinct(F.concat(forms, cut)), lambda v: v != "")

@@ -72,11 +72,49 @@ def test_uuid5(spark):
     assert one(spark, "käse|type|x", ids.uuid5(F.col("c"))) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "käse|type|x"))
 
 
-def test_fold_agrees_with_exact_fold_on_letters_of_one_plain_form(spark):
-    plain = lambda ch: "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-    letters = "".join(chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(plain(chr(c))) == 1 and chr(c).isalpha())
-    r = spark.createDataFrame([(letters,)], "c string").select(text.fold("c").alias("a"), text.fold_exact("c").alias("b")).first()
-    assert r["a"] == r["b"]
+def assigned():
+    """All characters that Unicode names, in texts of 50, each between letters."""
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    return ["a" + "a".join(every[i : i + 50]) + "a" for i in range(0, len(every), 50)]
+
+
+def test_fold_and_casefold_of_every_character(spark):
+    rows = spark.createDataFrame([(s,) for s in assigned()], "c string").repartition(8)
+    rows = rows.select("c", text.fold("c").alias("plain"), text.casefold("c").alias("cased"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    for r in rows.collect():
+        assert r["plain"] == "".join(x for x in unicodedata.normalize("NFKD", r["c"]) if not unicodedata.combining(x))
+        assert r["cased"] == r["c"].casefold()
+
+
+@pytest.mark.parametrize("said", [None, "", "ﷺ 한글 ﬁn", "ΣΑΣ ŉ", "नमस्ते", "e\u0301\u0327", "\U0001d400\U0001d7d8", "plain"])
+def test_fold_of_texts(spark, said):
+    want = "".join(x for x in unicodedata.normalize("NFKD", said or "") if not unicodedata.combining(x))
+    assert one(spark, said, text.fold("c")) == want and one(spark, said, text.casefold("c")) == (said or "").casefold()
+
+
+def test_keywords_from_beyond_the_first_words(spark):
+    """Enough keywords at the beginning, or only after many words that are none, or nowhere."""
+    for said in (" ".join(f"Word{i} word{i}" for i in range(200)), "of an " * 300 + "Late later LATE latest", "x y " * 100 + "tea", "", None):
+        words, telling = {}, {}
+        for w in (said or "").split():
+            if len(w) >= 2:
+                words.setdefault(w.casefold(), w)
+            if len(w) >= 3 and w.casefold() not in text.STOP_WORDS:
+                telling.setdefault(w.casefold(), w)
+        assert one(spark, said, text.fallback_keywords("c")) == list(telling.values())[:8]
+        assert one(spark, said, text.clean_keywords(F.split("c", " "), 12)) == list(words.values())[:12]
+
+
+def test_fallback_keywords_of_context_terms_and_attributes(spark):
+    context = F.array(F.lit("Live animals"), F.lit("  "), F.lit(None).cast("string"), F.lit("other horses: LIVE"))
+    assert one(spark, "pure-bred, (Horses)", text.fallback_keywords("c", context=context)) == ["pure-bred", "Horses", "Live", "animals"]
+    assert one(spark, None, text.fallback_keywords("c", context=context)) == ["Live", "animals", "horses"]
+    assert one(spark, "tea", text.fallback_keywords("c", context=F.lit(None).cast("array<string>"))) == ["tea"]
+    terms = spark.createDataFrame([(" Green  Tea ", "x"), ("", "an id"), (None, "an id"), ("", None), (" ", "x")], "t string, i string")
+    assert [r[0] for r in terms.select(text.term_keywords("t", "i")).collect()] == [["Green Tea"], ["an id"], ["an id"], [], []]
+    attributes = spark.createDataFrame([("Tea", "colour", "red:green", "Tea: the colour"), (None, None, None, None)], "p string, k string, v string, s string")
+    assert [r[0] for r in attributes.select(text.attribute_keywords("p", "k", "v", "s")).collect()] == [["Tea", "colour", "red", "green", "the"], []]
 
 
 def test_ratio_keeps_the_order_of_its_arguments(spark):
