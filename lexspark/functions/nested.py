@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.session import materialise
+
 
 def lenient_json(c: Column) -> Column:
     """A JSON value (variant): the text itself, else what stands between its first and last brace; a bare list is
@@ -48,10 +50,18 @@ def valid_updates(targets: Column, updates: Column) -> Column:
     return same_ids(F.transform(targets, lambda t: t["index"]), index) & (F.size(index) == F.size(F.array_distinct(index))) & (F.size(F.array_except(updates, targets)) == 0)
 
 
-def with_batches(df: DataFrame, order: str, size: int, partition: str | None = None, name: str = "batch") -> DataFrame:
+def with_batches(df: DataFrame, order: str | tuple[str, ...], size: int, partition: str | None = None, name: str = "batch") -> DataFrame:
     """Batch numbers of ``size`` rows in order; a size of 0 or less is one batch. With ``partition``, batches are
-    numbered in each of its values, which keeps the work spread."""
+    numbered in each of its values. Without, rows are put into ranges of ``order`` in a shared table and numbered in
+    each range, after the rows of the ranges before it; columns that tell ties apart let a frequent value be spread."""
+    order = (order,) if isinstance(order, str) else order
     if size <= 0:
         return df.withColumn(name, F.lit(0).cast("long"))
-    w = Window.partitionBy(*([partition] if partition else [])).orderBy(order)
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / size))
+    if partition:
+        return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1) / size))
+    ranges = materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = {r["__range"]: r["count"] for r in ranges.groupBy("__range").count().collect()}  # a row for each shuffle partition
+    before = [sum(n for k, n in sizes.items() if k < at) for at in range(max(sizes, default=0) + 1)]
+    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("__range") + 1)
+    number = first + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn(name, F.floor(number / size)).drop("__range")

@@ -159,6 +159,56 @@ def improve_rows(rows: DataFrame, improver: Improver, page: tuple[str, ...] = ("
     return rows.join(good, [*page, pos], "left").withColumn("description", F.coalesce("__better", "description")).select(*rows.columns)
 
 
+#: Takes a page's country (or None), the beginning of its text and its rows (dicts with code, description), and returns
+#: as many rows with the same codes in the same order.
+Normaliser = Callable[[str | None, str, list[dict]], list[dict]]
+#: Fixed value: characters of a page's text that a normaliser gets as context.
+CONTEXT_LENGTH = 8000
+
+
+def normalise_rows(rows: DataFrame, normaliser: Normaliser, texts: DataFrame | None = None, page: tuple[str, ...] = ("pdf", "page"), pos: str = "pos", context_length: int = CONTEXT_LENGTH) -> DataFrame:
+    """``rows`` (page columns, pos, country, code, description, ...) with all descriptions of a page as the normaliser
+    gives them; ``texts`` (page columns, raw) are the pages' texts. It is called once a page, inside the tasks, and what
+    it says is written before anything reads it. A page's rows count only if they are as many with the same codes in
+    the same order; else, and where the call fails, the page stays as it was.
+
+    Rows of one ``pos`` are taken by code and description. Null codes and descriptions are given as empty ones. Pages
+    whose page columns hold a null are not asked about. Without rows nothing is asked."""
+    order = (F.col(pos), F.coalesce("code", F.lit("")), F.coalesce("description", F.lit("")))
+    known = F.lit(True)
+    for c in page:
+        known = known & F.col(c).isNotNull()
+    held = Scratch(rows.sparkSession)
+    numbered = held.table(rows.withColumn("__n", F.row_number().over(Window.partitionBy(*page).orderBy(*order))), "page-rows")
+    row = F.struct(F.col("__n").alias("n"), order[1].alias("code"), order[2].alias("description"))
+    said = lambda c: F.transform(c, lambda x: F.struct(x["code"].alias("code"), x["description"].alias("description")))
+    asked = numbered.where(known).groupBy(*page).agg(F.max("country").alias("__country"), said(F.sort_array(F.collect_list(row))).alias("__before"))
+    if texts is None:
+        asked = asked.withColumn("__raw", F.lit(""))
+    else:
+        first = texts.groupBy(*page).agg(F.min("raw").alias("__raw"))
+        asked = asked.join(first, [*page], "left").withColumn("__raw", F.substring(F.coalesce("__raw", F.lit("")), 1, context_length))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = []
+            for country, raw, before in zip(frame["__country"], frame["__raw"], frame["__before"]):
+                try:
+                    out = normaliser(None if pd.isna(country) else country, raw, [dict(r) for r in before])
+                    got.append([{"code": str(r.get("code") or "").strip(), "description": str(r.get("description") or "").strip()} for r in out])
+                except Exception:  # noqa: BLE001 - whatever a normaliser raises, the page stays as it was
+                    got.append(None)
+            yield frame.drop(columns=["__country", "__raw"]).assign(__after=got)
+
+    item = "array<struct<code:string,description:string>>"
+    kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in page)
+    answered = held.table(asked.mapInPandas(run, f"{kinds}, __before {item}, __after {item}"), "normalised")
+    good = answered.where(nested.same_codes(F.col("__before"), F.col("__after"))).select(*page, F.posexplode("__after").alias("__at", "__row"))
+    good = good.select(*page, (F.col("__at") + 1).alias("__n"), text.norm_space("__row.description").alias("__better"))
+    both = numbered.join(good, [*page, "__n"], "left")
+    return both.withColumn("description", F.coalesce("__better", "description")).select(*rows.columns)
+
+
 def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback: Provider, mode: str = "keywords", batch_size: int = 20, rounds: int = 1, parallel: int | None = None, pause: float = 0.0, calls_per_task: int = 1) -> DataFrame:
     """Everything that keeps a cache up to date: what is pending for ``objects`` (id, description) is asked for in
     batches, merged and stored as a new version. With several ``rounds``, that many parts by id are stored one after
@@ -175,9 +225,19 @@ def refresh(store: CacheStore, objects: DataFrame, provider: Provider, fallback:
     return store.read()
 
 
-def default_answers(items: DataFrame) -> DataFrame:
-    """Answers without a model: keywords from the description, no rewriting. Native columns."""
-    return items.select("id", F.lit(None).cast("string").alias("augmented_description"), text.fallback_keywords("description").alias("keywords"))
+def default_answers(items: DataFrame, kind: str = "objects") -> DataFrame:
+    """Answers without a model: keywords from the items' own texts, no rewriting. Native columns. Items are ``objects``
+    (id, description; context, the descriptions above it, if there is such a column), ``terms`` (id, term) or
+    ``attributes`` (id, product, attribute_type, attribute_value, text)."""
+    if kind == "objects":
+        keywords = text.fallback_keywords("description", context=F.col("context") if "context" in items.columns else None)
+    elif kind == "terms":
+        keywords = text.term_keywords("term", "id")
+    elif kind == "attributes":
+        keywords = text.attribute_keywords("product", "attribute_type", "attribute_value", "text")
+    else:
+        raise ValueError("kind must be objects, terms or attributes")
+    return items.select("id", F.lit(None).cast("string").alias("augmented_description"), keywords.alias("keywords"))
 
 
 def merge_cache(cache: DataFrame, answers: DataFrame, overwrite: bool = False) -> DataFrame:

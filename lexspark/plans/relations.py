@@ -200,6 +200,29 @@ def q55(spark: SparkSession, d: str) -> DataFrame:
     return augment.improve_rows(rows, _improver).select(F.col("pos").cast("long").alias("pos"), "description")
 
 
+def _normaliser(country: str | None, raw: str, rows: list[dict]) -> list[dict]:
+    """Better descriptions of a whole page, by its country and text; where a code asks for it it fails, leaves a row
+    out, or gives its rows in another order."""
+    if any(r["code"].startswith("11") for r in rows):
+        raise ValueError("refused")
+    out = [{"code": r["code"], "description": f" {country}  {raw} {r['description']}"} for r in rows]
+    if any(r["code"].startswith("13") for r in rows):
+        return out[1:]
+    return out[::-1] if any(r["code"].startswith("17") for r in rows) else out
+
+
+@query("q65_normalise_rows", """WITH t AS (SELECT o_custkey, o_orderkey, o_orderstatus || ' ' || o_orderpriority AS d, CASE WHEN o_orderkey % 11 = 0 THEN '11' WHEN o_orderkey % 13 = 0 THEN '13' WHEN o_orderkey % 17 = 0 THEN '17' ELSE '19' END AS k FROM orders),
+p AS (SELECT o_custkey, bool_or(k IN ('11', '13')) OR (bool_or(k = '17') AND count(*) > 1) AS stays FROM t GROUP BY 1)
+SELECT o_orderkey AS pos, CASE WHEN stays THEN d ELSE 'US customer ' || o_custkey::VARCHAR || ' ' || d END AS description FROM t JOIN p USING (o_custkey)""")
+def q65(spark: SparkSession, d: str) -> DataFrame:
+    """A page is a customer's orders; all of its rows are asked for at once."""
+    k = F.col("o_orderkey")
+    code = F.concat(F.when(k % 11 == 0, "11").when(k % 13 == 0, "13").when(k % 17 == 0, "17").otherwise("19"), k.cast("string"))
+    rows = table(spark, d, "orders").select(F.lit("f").alias("pdf"), F.col("o_custkey").alias("page"), k.alias("pos"), F.lit("US").alias("country"), code.alias("code"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("description"))
+    texts = table(spark, d, "customer").select(F.lit("f").alias("pdf"), F.col("c_custkey").alias("page"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("raw"))
+    return augment.normalise_rows(rows, _normaliser, texts).select("pos", "description")
+
+
 @query("q56_refresh", "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE upper(p_name) END AS augmented_description, CASE WHEN p_partkey % 7 = 0 THEN 'fallback' ELSE 'asked' END AS keywords, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS asked FROM part")
 def q56(spark: SparkSession, d: str) -> DataFrame:
     """A cache built in three parts, each stored; a second call finds nothing pending but what has no better text. How

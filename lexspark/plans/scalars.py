@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import codes, ids, nested, text
-from lexspark.operators import hierarchy, index, retrieve
+from lexspark.operators import augment, hierarchy, index, retrieve
 from lexspark.plans.common import CUSTOMER_CODES, HEADINGS, customer_codes, headings, part_triples, registrar, sql_space, sql_words, table
 
 QUERIES: dict = {}
@@ -96,6 +96,12 @@ def q20(spark: SparkSession, d: str) -> DataFrame:
     return nested.with_batches(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 20, "source")
 
 
+@query("q63_batches_in_order", "SELECT event_id, (row_number() OVER (ORDER BY user_id, event_id) - 1) // 50 AS batch FROM events")
+def q63(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of all events by user, without a column that spreads them."""
+    return nested.with_batches(table(spark, d, "events").select("event_id", "user_id"), ("user_id", "event_id"), 50).select("event_id", "batch")
+
+
 @query("q21_usage_tally", "SELECT e.event_type AS key, sum((props->>'$.k')::BIGINT)::BIGINT AS n FROM events e GROUP BY 1")
 def q21(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.create_map("event_type", F.get_json_object("props", "$.k").cast("long")).alias("usage"))
@@ -151,6 +157,32 @@ def q36(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(text.fallback_keywords("text"), ",").alias("keywords"))
 
 
+_STOP = "('and','or','of','the','a','an','for','with','without','whether','not','other')"
+
+
+def _first_words(source: str, key: str, said: str, stop: str, n: int) -> str:
+    """SQL: the first ``n`` different words of three letters or more that aren't in ``stop``, of every row."""
+    return f"""w0 AS (SELECT {key} AS id, string_split({sql_space(said)}, ' ') AS a FROM {source}), w1 AS (SELECT id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM w0),
+w2 AS (SELECT id, i, trim(w, '.,;:()[]{{}}''"') AS w FROM w1), w3 AS (SELECT id, lower(w) AS key, min(i) AS i, arg_min(w, i) AS w FROM w2 WHERE length(w) >= 3 AND lower(w) NOT IN {stop} GROUP BY 1, 2),
+w4 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM w3), l AS (SELECT w0.id, coalesce(string_agg(w, ',' ORDER BY i), '') AS keywords FROM w0 LEFT JOIN w4 ON w0.id = w4.id AND n <= {n} GROUP BY w0.id)"""
+
+
+@query("q64_fallback_answers", f"""WITH c AS ({CUSTOMER_CODES}), h AS ({HEADINGS}),
+x AS (SELECT row_id, any_value(name) || ' ' || string_agg(h.description, ' ' ORDER BY length(h.digits) DESC) AS said FROM c JOIN h ON starts_with(c.digits, h.digits) AND length(h.digits) < length(c.digits) GROUP BY row_id),
+{_first_words("x", "row_id::VARCHAR", "said", _STOP, 8)} SELECT 'object' AS kind, id, keywords FROM l
+UNION ALL SELECT DISTINCT 'term', p_brand || '/' || p_type, p_type FROM part
+UNION ALL SELECT * FROM (WITH {_first_words("part", "p_partkey::VARCHAR", "replace(p_name || ' type ' || p_type || ' ' || p_name || ': ' || p_type, ':', ' ')", "('')", 10)} SELECT 'attribute' AS kind, id, keywords FROM l)""")
+def q64(spark: SparkSession, d: str) -> DataFrame:
+    """Answers without a model for all kinds of items: objects with the descriptions above them, terms, attributes."""
+    above = hierarchy.ancestor_texts(customer_codes(spark, d), headings(spark, d)).select("row_id", "context")
+    objects = customer_codes(spark, d).join(above, "row_id").select(F.col("row_id").cast("string").alias("id"), F.col("name").alias("description"), "context")
+    p = table(spark, d, "part")
+    terms = p.select(F.concat_ws("/", "p_brand", "p_type").alias("id"), F.col("p_type").alias("term")).distinct()
+    triples = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("product"), F.lit("type").alias("attribute_type"), F.col("p_type").alias("attribute_value"), F.concat_ws(": ", "p_name", "p_type").alias("text"))
+    parts = [augment.default_answers(i, f"{k}s").select(F.lit(k).alias("kind"), "id", F.array_join("keywords", ",").alias("keywords")) for k, i in (("object", objects), ("term", terms), ("attribute", triples))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("q52_segments", f"""WITH s AS (SELECT doc_id, unnest(string_split(replace(replace({sql_space('text')}, '(con.)', ' '), '(con )', ' '), ':')) AS w, generate_subscripts(string_split(replace(replace({sql_space('text')}, '(con.)', ' '), '(con )', ' '), ':'), 1) AS i FROM documents),
 c AS (SELECT doc_id, i, {sql_space('w')} AS w FROM s), f AS (SELECT doc_id, replace(lower(w), 'ß', 'ss') AS key, min(i) AS i, arg_min(w, i) AS w FROM c WHERE w <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
 SELECT d.doc_id, count(w) AS n, md5(coalesce(string_agg(w, '|' ORDER BY i), '')) AS segments FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 10 GROUP BY d.doc_id""")
