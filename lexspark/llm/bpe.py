@@ -194,6 +194,9 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many tokens, and hashes of ids and decoded text. A null text counts as the empty one,
+    which has no tokens; repeated rows each have their row; an empty table has none. Texts of any length are encoded
+    whole."""
     rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return rows.select(
         "doc_id",

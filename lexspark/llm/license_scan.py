@@ -94,6 +94,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_dice: fl
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its units, licenses joined by ``;`` in order of name, the best one and its coefficient to
+    six digits. A null or empty text, or one without two words, has 0 units, an empty text of licenses and nulls; of
+    ties the first name is the best; repeated rows each have their row, an empty table none. Texts of any length are
+    read whole."""
     rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_units", F.array_join("licenses", ";").alias("licenses"), "best_license", F.round("best_dice", 6).alias("best_dice"))
 

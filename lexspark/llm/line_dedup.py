@@ -136,6 +136,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, chunks and removed chunks, and the MD5 of the text that stays. A null text has
+    no lines and the MD5 of the empty one, as has an empty text; a repeated row has the same result as the first; an
+    empty table has no rows. Texts of any length are read whole."""
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 

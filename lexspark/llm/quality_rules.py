@@ -210,5 +210,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its counts and verdicts. A null or empty text has no words, so that base_failed is true
+    and kept false; rows with a null label aren't learned from; repeated rows each have their row; an empty table has
+    none. Texts of any length are read whole."""
     rows, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
