@@ -1,7 +1,8 @@
 """Sharding: a table of immutable Parquet shards under size-tiered compaction and versioned manifests.
 
 Arrivals are appended as small shards. Shards that are smaller than the target fall into tiers by the power of the
-fan-in that their size is; a tier with as many shards as the fan-in is merged into files of about the target size.
+fan-in that their size is; tiers with as many shards as the fan-in are merged into files of about the target size, along
+with the tier that these files would fill.
 Every change is one new manifest, put in place by a rename that fails if another writer was first: readers see the
 version before or the one after, and a job that dies leaves files that no manifest names. Old versions stay readable
 until ``vacuum`` is called; nothing else removes them.
@@ -148,6 +149,25 @@ class ShardStore:
     def tier(self, shard: Shard) -> int:
         return max(0, math.floor(math.log(max(shard.bytes, 1), self.fan_in)))
 
+    def _files(self, runs: list[Shard]) -> int:
+        """How many files a merge of these shards writes."""
+        return max(1, round(sum(s.bytes for s in runs) / self.target_bytes))
+
+    def _full(self, tiers: dict[int, list[Shard]]) -> list[Shard]:
+        """The shards of all tiers that have as many as the fan-in, and of those that a merge of these would fill: as
+        one merge, no row is written twice on its way up."""
+        taken = {t for t, runs in tiers.items() if len(runs) >= self.fan_in}
+        while True:
+            runs = [s for t in sorted(taken) for s in tiers[t]]
+            if not runs:
+                return runs
+            files = self._files(runs)
+            size = sum(s.bytes for s in runs) // files
+            to = self.tier(Shard("", size, 0))
+            if size >= self.target_bytes * 3 // 4 or to in taken or len(tiers.get(to, [])) + files < self.fan_in:
+                return runs
+            taken.add(to)
+
     def compact(self) -> int:
         """Merge tiers until none below the target has as many shards as the fan-in. Each merge is a commit.
         A task reads its share of the tier's files and writes one file: no shuffle, no sort."""
@@ -158,11 +178,10 @@ class ShardStore:
             for s in shards:
                 if s.bytes < self.target_bytes * 3 // 4:
                     tiers[self.tier(s)].append(s)
-            full = [runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fan_in]
-            if not full:
+            runs = self._full(tiers)
+            if not runs:
                 return now["version"]
-            runs, schema = full[0], StructType.fromJson(now["schema"])
-            files = max(1, round(sum(s.bytes for s in runs) / self.target_bytes))
+            schema, files = StructType.fromJson(now["schema"]), self._files(runs)
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             self.spark.read.schema(schema).parquet(*[s.path for s in runs]).coalesce(files).write.parquet(folder)
             merged, old = self._written(folder, schema), {s.path for s in runs}
