@@ -233,6 +233,25 @@ def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return map_in_arrow(both, run, schema)
 
 
+def _shared_elements(diffs: DataFrame, percent: int, held: Scratch) -> DataFrame:
+    """(cls, comp, hub, n, d, over, least, e, often): the elements of differences that two classes of different
+    components have, one of them not linked to the hub (``over`` > 0); of classes that have ``least`` elements or more
+    which aren't theirs alone, as no class with fewer is similar to one of another component. At most a row per element."""
+    p, q = 100 + percent, 100 - percent
+    rows = diffs.select("cls", "comp", "hub", "n", "diff", F.size("diff").cast("long").alias("d"), (p * F.size("diff") - q * (F.col("n") + F.col("hub_n"))).alias("over"))
+    # Whatever the other class is: an unlinked one shares at least over / 200, one it is linked with more than this.
+    least = F.when(F.col("over") > 0, F.greatest(F.lit(1), F.ceil(F.col("over") / 200))).otherwise(F.floor(percent * F.col("d") / p) + 1)
+    rows = rows.withColumn("least", least)
+    found = rows.select("cls", "comp", "hub", (F.col("over") > 0).alias("out"), F.explode("diff").alias("e"))
+    elements = found.groupBy("hub", "e").agg(F.count("*").alias("often"), F.min("cls").alias("cls"), ((F.min("comp") != F.max("comp")) & F.max("out")).alias("tells"))
+    elements = held.table(elements.where((F.col("often") == 1) | F.col("tells")), "near-elements")
+    # Of the elements that tell nothing only their number is needed: they come first in every list.
+    alone = elements.where(F.col("often") == 1).groupBy("cls", "hub").agg(F.count("*").alias("alone"))
+    rows = _meet(rows, alone, ["cls", "hub"], "left").where(F.col("d") - F.coalesce("alone", F.lit(0)) >= F.col("least"))
+    each = rows.select("cls", "comp", "hub", "n", "d", "over", "least", F.explode("diff").alias("e"))
+    return _meet(each, elements.where("tells").select("hub", "e", "often"), ["hub", "e"])
+
+
 def _by_difference(diffs: DataFrame, percent: int, held: Scratch) -> DataFrame:
     """Pairs (a, b) of classes with one hub that may be similar though they aren't both linked to it.
 
@@ -241,15 +260,10 @@ def _by_difference(diffs: DataFrame, percent: int, held: Scratch) -> DataFrame:
     the hub. With the elements of each in one order, the first that they share has o - 1 more behind it in both; so
     its place is at most d - o. Rare elements come first."""
     p, q = 100 + percent, 100 - percent
-    rows = diffs.select("cls", "comp", "hub", "n", "diff", F.size("diff").cast("long").alias("d"), (p * F.size("diff") - q * (F.col("n") + F.col("hub_n"))).alias("over"))
-    # Of the elements that stand in one difference only nothing is needed but their number.
-    often = held.table(rows.select("hub", F.explode("diff").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("often")).where(F.col("often") > 1), "near-often")
-    each = _meet(rows.select("cls", "comp", "hub", "n", "d", "over", F.explode("diff").alias("e")), often, ["hub", "e"])
-    lists = each.groupBy("cls", "hub").agg(*[F.first(c).alias(c) for c in ("comp", "n", "d", "over")], F.sort_array(F.collect_list(F.struct("often", "e"))).alias("es"))
-    # Whatever the other class is: an unlinked one shares at least over / 200, one it is linked with more than this.
-    least = F.when(F.col("over") > 0, F.greatest(F.lit(1), F.ceil(F.col("over") / 200))).otherwise(F.floor(percent * F.col("d") / p) + 1)
-    exploded = lists.select("cls", "comp", "hub", "n", "d", "over", F.size("es").alias("m"), F.posexplode("es").alias("i", "x"))
-    prefix = held.table(exploded.withColumn("at", (F.col("d") - F.col("m") + F.col("i")).cast("long")).where(F.col("at") + least <= F.col("d")).select("cls", "comp", "hub", "n", "d", (F.col("over") > 0).alias("out"), F.col("x.e").alias("e"), "at"), "near-prefix")
+    each = _shared_elements(diffs, percent, held)
+    lists = each.groupBy("cls", "hub").agg(*[F.first(c).alias(c) for c in ("comp", "n", "d", "over", "least")], F.sort_array(F.collect_list(F.struct("often", "e"))).alias("es"))
+    exploded = lists.select("cls", "comp", "hub", "n", "d", "over", "least", F.size("es").alias("m"), F.posexplode("es").alias("i", "x"))
+    prefix = held.table(exploded.withColumn("at", (F.col("d") - F.col("m") + F.col("i")).cast("long")).where(F.col("at") + F.col("least") <= F.col("d")).select("cls", "comp", "hub", "n", "d", (F.col("over") > 0).alias("out"), F.col("x.e").alias("e"), "at"), "near-prefix")
     a, b = (prefix.select("hub", "e", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "comp", "n", "d", "out", "at")]) for s in "ab")
     shared = F.ceil((p * (F.col("a_d") + F.col("b_d")) - q * (F.col("a_n") + F.col("b_n"))) / (2 * p))
     fits = (F.col("a_at") + shared <= F.col("a_d")) & (F.col("b_at") + shared <= F.col("b_d"))
