@@ -29,8 +29,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: A worker forgets its words when it holds so many; longer words are never kept. It remembers so many pairs of tokens.
 #: Workers outlive their tasks, and so does this memory. None of it alters a result.
 CACHE_WORDS, CACHE_WORD_BYTES, CACHE_PAIRS = 200_000, 64, 250_000
-#: Characters of text that are encoded at a time.
-SLICE_CHARS = 4_000_000
+#: Characters of text that are encoded at a time. The words of a slice are held one by one, so that a worker's memory
+#: goes with it: what a worker has once taken for them it keeps.
+SLICE_CHARS = 250_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -67,9 +68,9 @@ class Vocabulary:
         self.find_added = regex.compile(f"({added})") if added else None
         self.split = regex.compile(SPLIT)
         self.words: dict[str, bytes] = {}
-        self.may_follow = lru_cache(maxsize=CACHE_PAIRS)(self._may_follow)
+        self.pairs: dict[int, bool] = {}
 
-    def _may_follow(self, left: int, right: int) -> bool:
+    def may_follow(self, left: int, right: int) -> bool:
         limit = len(self.rank)
         while True:
             # A merge of the two tokens that would have come before what formed either of them rules them out.
@@ -87,7 +88,10 @@ class Vocabulary:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Distinct words and their ids as little-endian unsigned 32-bit integers."""
         out: dict[str, bytes] = {}
-        get, follow, packed, longest = self.id_of.get, self.may_follow, self.packed, self.longest
+        get, packed, longest = self.id_of.get, self.packed, self.longest
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        follows, n_ids = self.pairs, max(self.bytes_of, default=0) + 1
         before, token, size = b"", [0], [0]  # states of the path to the word before: last token, its length
         for data, word in sorted((w.encode(), w) for w in words):
             n, shared = len(data), 0
@@ -99,10 +103,18 @@ class Vocabulary:
             for end in range(shared + 1, n + 1):
                 for start in range(max(0, end - longest), end):
                     t = get(data[start:end])
-                    if t is not None and (start == 0 or follow(token[start], t)):
-                        token.append(t)
-                        size.append(end - start)
-                        break
+                    if t is None:
+                        continue
+                    if start:
+                        pair = token[start] * n_ids + t
+                        may = follows.get(pair)
+                        if may is None:
+                            may = follows[pair] = self.may_follow(token[start], t)
+                        if not may:
+                            continue
+                    token.append(t)
+                    size.append(end - start)
+                    break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {word!r}")
             ids, end = [], n
@@ -156,6 +168,12 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def encoded(v: Vocabulary, texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, packed ids) of runs of texts; only one run's words are held at a time."""
+    for lo, hi in _slices(texts):
+        yield lo, hi, v.encode_batch(texts[lo:hi])
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds column ``ids``: the text's token ids as binary, little-endian unsigned 32-bit integers; with
     ``decoded``, also the text that these ids decode to. Columns of these names are replaced.
@@ -170,8 +188,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
         v = vocabulary(path or default_path())
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            for lo, hi in _slices(texts):
-                coded = v.encode_batch(texts[lo:hi])
+            for lo, hi, coded in encoded(v, texts):
                 columns = [*b.slice(lo, hi - lo).columns, pa.array(coded, pa.binary())]
                 if decoded:
                     columns.append(pa.array(map(v.decode, coded), pa.string()))
