@@ -22,7 +22,7 @@ def test_words_of_many_texts_are_not_held_at_once():
     finally:
         tracemalloc.stop()
     assert n == len(texts)
-    assert peak < 24 << 20  # all at once: over 100 MB
+    assert peak < 24 << 20  # all at once: 51 MB
 
 
 def test_pairs_of_tokens_remembered_have_a_bound(monkeypatch):
