@@ -26,6 +26,8 @@ SAMPLE_VECTORS, TRAIN_ROUNDS = 16_384, 8
 MAX_LISTS = 4_096
 #: Vectors of a block of a list, and queries that meet it together.
 BLOCK_VECTORS, BLOCK_QUERIES = 2_048, 512
+#: Bytes of scores that a step of training or assigning holds at a time.
+STEP_BYTES = 1 << 24
 #: Scores count to so many digits; ties go to the smaller id.
 DIGITS = 6
 
@@ -54,11 +56,37 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, step) for at in range(0, b.num_rows, step))
+
+
+def _step(lists: int) -> int:
+    """Rows to compare at a time with so many lists."""
+    return max(1, STEP_BYTES // (8 * lists))
+
+
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the ``SAMPLE_VECTORS`` rows of ``n`` with the smallest hashes of their ids, in order. Tasks cut
+    them down, so that these are all that the driver gets."""
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+
+    def least(some: DataFrame) -> pa.Array:
+        return some.orderBy("h", "doc_id", "v").limit(SAMPLE_VECTORS).select("v").toArrow().column("v").combine_chunks()
+
+    # Twice as many have hashes below this, unless ids repeat.
+    found = least(hashed.where(F.col("h") < 2**65 * SAMPLE_VECTORS // n - 2**63)) if n > 4 * SAMPLE_VECTORS else None
+    if found is None or len(found) < SAMPLE_VECTORS:
+        found = least(hashed)
+    return _matrix(found, len(found[0]))
+
+
 def _train(x: np.ndarray, lists: int) -> np.ndarray:
     """Directions that the sample's vectors gather around: means of the nearest, made as long as one."""
     c = x[:: max(1, len(x) // lists)][:lists].copy()
+    step = _step(len(c))
     for _ in range(TRAIN_ROUNDS):
-        which = (x @ c.T).argmax(axis=1)
+        which = np.concatenate([(x[at : at + step] @ c.T).argmax(axis=1) for at in range(0, len(x), step)])
         sums = np.zeros_like(c)
         np.add.at(sums, which, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -75,13 +103,12 @@ def build(vectors: DataFrame, path: str, doc_id: str = "doc_id", vector: str = "
     rows = vectors.select(F.col(doc_id).cast("long").alias("doc_id"), unit(F.col(vector)).alias("v"))
     n = rows.count()
     k = max(1, min(MAX_LISTS, lists or math.isqrt(n)))
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "v").limit(SAMPLE_VECTORS).select("v").collect()])
-    centroids = _train(sample, k) if n else np.zeros((0, 0))
+    centroids = _train(_sample(rows, n), k) if n else np.zeros((0, 0))
     shared = spark.sparkContext.broadcast(centroids)  # at most MAX_LISTS vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for b in batches:
+        for b in _slices(batches, _step(len(c))):
             near = _matrix(b.column(1), c.shape[1]) @ c.T
             which = near.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(which.astype(np.int32)), pa.array(near[np.arange(len(which)), which])], names=["doc_id", "v", "list", "near"])
@@ -106,14 +133,15 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(spark, path, np.array(meta["centroids"]), np.array(meta["least"]))
 
 
-def _probed(index: VectorIndex, queries: DataFrame, probes: int | None, first: int = 0) -> DataFrame:
-    """(query_id, qv, list): the lists from place ``first`` on to probe for each query; with ``probes``, so many nearest
-    ones, else all whose vectors may reach ``kth``, a column of the queries."""
+def _asked(index: VectorIndex, queries: DataFrame, probes: int | None, first: int = 0) -> DataFrame:
+    """(list, query_ids, queries): the queries that probe a list, in blocks of at most ``BLOCK_QUERIES``. They probe the
+    lists from place ``first`` on; with ``probes``, so many nearest ones, else all whose vectors may reach ``kth``, a
+    column of the queries."""
     shared = index.spark.sparkContext.broadcast((index.centroids, index.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, least = shared.value
-        for b in batches:
+        for b in _slices(batches, BLOCK_QUERIES):
             q = _matrix(b.column(b.schema.get_field_index("qv")), c.shape[1])
             near = np.clip(q @ c.T, -1, 1)
             order = np.argsort(-near, axis=1, kind="stable")
@@ -126,17 +154,18 @@ def _probed(index: VectorIndex, queries: DataFrame, probes: int | None, first: i
                 most = np.cos(np.maximum(0, np.arccos(near) - np.arccos(np.clip(least, -1, 1))))
                 kth = b.column(b.schema.get_field_index("kth")).to_numpy(zero_copy_only=False)
                 take = (place >= first) & (most >= kth[:, None] - 2 * 10.0**-DIGITS)
-            row, lists = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(lists.astype(np.int32))], names=["query_id", "qv", "list"])
+            for at in np.flatnonzero(take.any(axis=0)):
+                row = np.flatnonzero(take[:, at])
+                ids, vectors = b.column(0).take(pa.array(row)), pa.array(q[row].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in (ids, vectors))], names=["list", "query_ids", "queries"])
 
-    return queries.mapInArrow(run, "query_id long, qv array<double>, list int")
+    return queries.mapInArrow(run, "list int, query_ids array<bigint>, queries array<double>")
 
 
-def _probe(index: VectorIndex, probed: DataFrame, k: int, parts: int) -> DataFrame:
-    """(query_id, doc_id, score, list): the ``k`` best of each query in each block of its lists. Queries of a list meet its
-    blocks in ``parts`` groups by hash."""
-    asked = probed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).groupBy("list", "part").agg(F.collect_list(F.struct("query_id", "qv")).alias("q"))
-    asked = asked.select("list", F.col("q.query_id").alias("query_ids"), F.flatten("q.qv").alias("queries"))
+def _probe(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, list): the ``k`` best of each query in each block of its lists. A query stands in
+    ``asked`` once a list, which Spark's estimates don't see, so without the hint it broadcasts them all through the
+    driver while the table of queries is small."""
     dims = index.centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +178,7 @@ def _probe(index: VectorIndex, probed: DataFrame, k: int, parts: int) -> DataFra
                 n = best.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, axis=1).ravel()), pa.array(np.full(best.size, b.column(0)[r].as_py(), np.int32))], names=["query_id", "doc_id", "score", "list"])
 
-    pairs = asked.join(index.blocks(), "list").select("list", "query_ids", "queries", "ids", "matrix")
+    pairs = asked.hint("merge").join(index.blocks(), "list").select("list", "query_ids", "queries", "ids", "matrix")
     return pairs.mapInArrow(run, "query_id long, doc_id long, score double, list int")
 
 
@@ -166,12 +195,12 @@ def _search(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
     held = Scratch(index.spark)
     q = held.table(queries.select(F.col(query_id).cast("long").alias("query_id"), unit(F.col(query_vector)).alias("qv")), "vector-queries")
     parts = max(1, -(-q.count() // BLOCK_QUERIES))
-    best = top_k(_probe(index, _probed(index, q, probes), k, parts), k)
+    best = top_k(_probe(index, _asked(index, q.repartition(parts), probes), k), k)
     if exact:
         first = held.table(best, "vector-first")
         kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         open_ = q.join(kth, "query_id", "left").select("query_id", "qv", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-        more = _probe(index, _probed(index, open_, None, probes), k, parts)
+        more = _probe(index, _asked(index, open_.repartition(parts), None, probes), k)
         best = top_k(first.drop("rank").unionByName(more), k)
     out = held.table(best, "vector-best")
     held.keep(out)

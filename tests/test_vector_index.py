@@ -1,5 +1,7 @@
 """The vector index against a comparison with every vector."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,52 @@ def test_scores_of_all_pairs(spark, monkeypatch, clustered):
         got = retrieve.vector_scores(docs, queries, max_queries=most).collect()
         assert len(got) == 630 and all(abs(r["score"] - want[r["query_id"], r["doc_id"]]) < 1e-9 for r in got)
     assert retrieve.vector_scores(docs, queries.limit(0)).collect() == []
+
+
+def test_repeated_queries_are_not_broadcast(spark, tmp_path, monkeypatch, clustered):
+    """A table of queries is small, but every query stands once for each list that it probes."""
+    ids, x = clustered
+    built = vector_index.build(frame(spark, ids, x), f"file://{tmp_path}/index", lists=40)
+    path, plans, table = f"file://{tmp_path}/queries", [], vector_index.Scratch.table
+    frame(spark, ids[::5], x[::5], "query_id", "query_vector").write.parquet(path)
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(vector_index.Scratch, "table", noted)
+    assert vector_index.search(built, spark.read.parquet(path), 3, probes=40).count() == 120 * 3
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("ids", [np.arange(600), np.arange(600) % 3, np.zeros(600, int)])
+def test_sample_has_the_smallest_hashes(spark, monkeypatch, clustered, ids):
+    """Cut down in the tasks, also where ids repeat; the driver collects no rows."""
+    monkeypatch.setattr(vector_index, "SAMPLE_VECTORS", 32)
+    rows = frame(spark, ids, clustered[1], b="v")
+    want = np.array([r["v"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "v").limit(32).collect()])
+    monkeypatch.setattr(type(rows), "collect", None)
+    assert np.array_equal(vector_index._sample(rows, 600), want)
+
+
+def test_training_holds_few_scores_at_a_time(monkeypatch):
+    x = unit(np.random.default_rng(2).normal(size=(4_096, 8)))
+    tracemalloc.start()
+    whole = vector_index._train(x, 2_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 4_096 * 2_000 / 2
+    monkeypatch.setattr(vector_index, "STEP_BYTES", 8 * 2_000 * 7)
+    assert np.allclose(vector_index._train(x, 2_000), whole)
+
+
+def test_every_query_asks_its_lists_once_in_small_blocks(spark, tmp_path, monkeypatch, clustered):
+    monkeypatch.setattr(vector_index, "STEP_BYTES", 8 * 40 * 3)
+    monkeypatch.setattr(vector_index, "BLOCK_QUERIES", 16)
+    ids, x = clustered
+    built = vector_index.build(frame(spark, ids, x), f"file://{tmp_path}/index", lists=40)
+    n = len(built.centroids)
+    asked = vector_index._asked(built, frame(spark, ids[::5], unit(x[::5]), "query_id", "qv").coalesce(1), n).collect()
+    assert max(len(r["query_ids"]) for r in asked) <= 16 and all(len(r["queries"]) == 8 * len(r["query_ids"]) for r in asked)
+    assert sorted((r["list"], i) for r in asked for i in r["query_ids"]) == [(at, i) for at in range(n) for i in ids[::5]]
+    assert all(np.array_equal(np.reshape(r["queries"], (-1, 8)), unit(x)[r["query_ids"]]) for r in asked)
