@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.operators.retrieve import top_k
-from lexspark.session import Scratch
+from lexspark.session import Scratch, map_in_arrow
 
 #: The bound of what centroids are trained on, and rounds of training.
 SAMPLE_VECTORS, TRAIN_ROUNDS = 16_384, 8
@@ -179,7 +179,7 @@ def _probe(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, axis=1).ravel()), pa.array(np.full(best.size, b.column(0)[r].as_py(), np.int32))], names=["query_id", "doc_id", "score", "list"])
 
     pairs = asked.hint("merge").join(index.blocks(), "list").select("list", "query_ids", "queries", "ids", "matrix")
-    return pairs.mapInArrow(run, "query_id long, doc_id long, score double, list int")
+    return map_in_arrow(pairs, run, "query_id long, doc_id long, score double, list int")
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:

@@ -104,6 +104,15 @@ def test_repeated_queries_are_not_broadcast(spark, tmp_path, monkeypatch, cluste
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_pairs_reach_python_in_small_batches(spark, tmp_path, clustered):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    ids, x = clustered
+    built = vector_index.build(frame(spark, ids, x), f"file://{tmp_path}/index", lists=4)
+    assert vector_index.search(built, frame(spark, ids[::60], x[::60], "query_id", "query_vector"), 3, probes=4).count() == 30
+    assert spark.conf.get(key).rstrip("b") == str(4 << 20)
+
+
 @pytest.mark.parametrize("ids", [np.arange(600), np.arange(600) % 3, np.zeros(600, int)])
 def test_sample_has_the_smallest_hashes(spark, monkeypatch, clustered, ids):
     """Cut down in the tasks, also where ids repeat; the driver collects no rows."""
