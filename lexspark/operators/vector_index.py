@@ -78,7 +78,10 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
     found = least(hashed.where(F.col("h") < 2**65 * SAMPLE_VECTORS // n - 2**63)) if n > 4 * SAMPLE_VECTORS else None
     if found is None or len(found) < SAMPLE_VECTORS:
         found = least(hashed)
-    return _matrix(found, len(found[0]))
+    lengths = np.unique(found.value_lengths())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
+    return _matrix(found, int(lengths[0]))
 
 
 def _train(x: np.ndarray, lists: int) -> np.ndarray:

@@ -123,6 +123,12 @@ def test_sample_has_the_smallest_hashes(spark, monkeypatch, clustered, ids):
     assert np.array_equal(vector_index._sample(rows, 600), want)
 
 
+def test_vectors_of_different_lengths_are_an_error(spark, tmp_path):
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "doc_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        vector_index.build(mixed, f"file://{tmp_path}/mixed")
+
+
 def test_training_holds_few_scores_at_a_time(monkeypatch):
     x = unit(np.random.default_rng(2).normal(size=(4_096, 8)))
     tracemalloc.start()
